@@ -116,6 +116,37 @@ def observed_exhaustive(items: DataFrame, resolved: DataFrame, nodes: DataFrame,
             .select(*keys, "node", F.array_contains("pos", F.col("node")).alias("y")))
 
 
+def exhaustive_labels(item_labels: DataFrame, effects: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`resolve` and `observed_exhaustive` in one shuffle on the item.
+
+    What each label proves and hides is worked out once per label (vocabulary size), so items
+    only union a few small sets.
+    """
+    e = effects.select("label", F.explode_outer("effects").alias("e")).select("label", "e.*")
+    shown = e.where(F.col("kind") == POSITIVE).select(
+        "label", F.explode(ancestors_of("node")).alias("node"), F.lit(True).alias("p"))
+    hidden = (e.where(F.col("kind") == UNKNOWN).withColumnRenamed("node", "root")
+              .join(mask_pairs(nodes), "root", "left")
+              .select("label", F.coalesce("node", "root").alias("node"), F.lit(False).alias("p")))
+    proof = shown.unionByName(hidden).groupBy("label").agg(
+        F.collect_set(F.when(F.col("p"), F.col("node"))).alias("pos"),
+        F.collect_set(F.when(~F.col("p"), F.col("node"))).alias("hid"))
+    none = F.array().cast("array<string>")
+    known = effects.select("label").join(proof, "label", "left").select(
+        "label", F.coalesce("pos", none).alias("pos"), F.coalesce("hid", none).alias("hid"))
+    every = nodes.agg(F.array_sort(F.collect_list("node"))).scalar()
+    sets = (item_labels.select("item", "label").join(known, "label", "left")
+            .select("item", F.coalesce("pos", none).alias("pos"),
+                    F.coalesce("hid", F.array(F.lit(ALL))).alias("hid"))
+            .groupBy("item").agg(
+                F.array_distinct(F.flatten(F.collect_set("pos"))).alias("pos"),
+                F.array_distinct(F.flatten(F.collect_set("hid"))).alias("hid")))
+    observed = F.when(F.array_contains("hid", ALL), F.col("pos")).otherwise(
+        F.array_union(F.array_except(every, "hid"), "pos"))
+    return (sets.withColumn("node", F.explode(observed))
+            .select("item", "node", F.array_contains("pos", F.col("node")).alias("y")))
+
+
 def apply_unobserved(labels: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Dataset-wide mask of whole subtrees; never removes a positive."""
     masked = (closure(nodes).join(roots.select(F.col("node").alias("ancestor")), "ancestor")
@@ -135,39 +166,54 @@ def refine_raw(stem_labels: DataFrame, raw_labels: DataFrame, effects: DataFrame
     """Stem resolution refined by the labels of its raw tracks: (item, stem, kind, node, outside).
 
     A raw node counts only inside the subtree of a node its stem maps to; otherwise it turns
-    unknown and is flagged `outside`. Stems without a label hide everything.
+    unknown and is flagged `outside`. Stems without a label hide everything. One shuffle on
+    (item, stem); the sets collected per stem are bounded by the label vocabulary.
     """
-    keys = ["item", "stem"]
-    labelled = stem_labels.select(*keys).distinct()
-    base = label_effects(stem_labels.distinct(), effects, keys)
-    mapped = base.where(F.col("kind") == POSITIVE).select(*keys, "node").distinct()
-    asserted = mapped.select(*keys).distinct().withColumn("asserts", F.lit(True))
-    unlabelled = (raw_labels.select(*keys).distinct().join(labelled, keys, "left_anti")
-                  .select(*keys, F.lit(UNKNOWN).alias("kind"), F.lit(ALL).alias("node"),
-                          F.lit(False).alias("outside")))
-    raw = (raw_labels.select(*keys, "label").distinct()
-           .join(labelled, keys, "left_semi")
-           .join(stem_labels.select(*keys, "label").distinct(), [*keys, "label"], "left_anti"))
-    extra = label_effects(raw, effects, keys).join(asserted, keys, "left")
-    hidden = extra.where(F.col("kind") == UNKNOWN).select(*keys, "kind", "node")
-    stem_only = extra.where((F.col("kind") == STEM_UNKNOWN) &
-                            (F.col("asserts").isNull() | (F.col("node") == ALL))
-                            ).select(*keys, "kind", "node")
-    # a raw node is inside when one of its ancestors-or-self is mapped by the stem
-    candidates = extra.where(F.col("kind") == POSITIVE).select(*keys, "node").distinct()
-    inside = (candidates.select(*keys, "node", F.explode(ancestors_of("node")).alias("up"))
-              .join(mapped.withColumnRenamed("node", "up"), [*keys, "up"], "left_semi")
-              .select(*keys, "node").distinct().withColumn("inside", F.lit(True)))
-    judged = candidates.join(inside, [*keys, "node"], "left")
-    refined = judged.where("inside").select(*keys, F.lit(POSITIVE).alias("kind"), "node")
-    outside = judged.where("inside is null").select(
-        *keys, F.lit(UNKNOWN).alias("kind"), "node", F.lit(True).alias("outside"))
-    plain = base.select(*keys, "kind", "node").unionByName(hidden).unionByName(stem_only
-                                                                              ).unionByName(refined)
-    up = F.when(F.col("kind") == POSITIVE, ancestors_of("node")).otherwise(F.array("node"))
-    closed = plain.select(*keys, "kind", F.explode(up).alias("node"), F.lit(False).alias("outside"))
-    return (closed.unionByName(outside).unionByName(unlabelled)
-            .groupBy(*keys, "kind", "node").agg(F.bool_or("outside").alias("outside")))
+    unmapped = F.array(F.struct(F.lit(UNKNOWN).alias("kind"), F.lit(ALL).alias("node")))
+    rows = (stem_labels.select("item", "stem", "label", F.lit(False).alias("raw"))
+            .unionByName(raw_labels.select("item", "stem", "label", F.lit(True).alias("raw")))
+            .join(effects.select("label", "effects"), "label", "left")
+            .withColumn("entry", F.struct("label", F.coalesce("effects", unmapped).alias("effects"))))
+    sets = rows.groupBy("item", "stem").agg(
+        F.collect_set(F.when(~F.col("raw"), F.col("entry"))).alias("own"),
+        F.collect_set(F.when(F.col("raw"), F.col("entry"))).alias("below"))
+
+    def implied(entries: Column) -> Column:
+        return F.flatten(F.transform(entries, lambda x: x["effects"]))
+
+    def of_kind(es: Column, kind: str) -> Column:
+        return F.filter(es, lambda e: e["kind"] == kind)
+
+    def rows_as(es: Column, kind: str, outside: bool) -> Column:
+        return F.transform(es, lambda e: F.struct(
+            F.lit(kind).alias("kind"), e["node"].alias("node"), F.lit(outside).alias("outside")))
+
+    parts = (sets
+             .withColumn("base", implied(F.col("own")))
+             .withColumn("mapped", F.transform(of_kind(F.col("base"), POSITIVE), lambda e: e["node"]))
+             .withColumn("names", F.transform("own", lambda x: x["label"]))
+             .withColumn("extra", implied(F.filter(
+                 "below", lambda r: ~F.array_contains("names", r["label"])))))
+
+    def inside(e: Column) -> Column:
+        return F.arrays_overlap(ancestors_of(e["node"]), F.col("mapped"))
+
+    raw_pos = of_kind(F.col("extra"), POSITIVE)
+    asserts_nothing = F.size("mapped") == 0
+    found = F.concat(
+        *[rows_as(of_kind(F.col("base"), k), k, False) for k in (POSITIVE, UNKNOWN, STEM_UNKNOWN)],
+        rows_as(of_kind(F.col("extra"), UNKNOWN), UNKNOWN, False),
+        rows_as(F.filter("extra", lambda e: (e["kind"] == STEM_UNKNOWN) & (
+            asserts_nothing | (e["node"] == ALL))), STEM_UNKNOWN, False),
+        rows_as(F.filter(raw_pos, inside), POSITIVE, False),
+        rows_as(F.filter(raw_pos, lambda e: ~inside(e)), UNKNOWN, True))
+    hide_all = F.array(F.struct(F.lit(UNKNOWN).alias("kind"), F.lit(ALL).alias("node"),
+                                F.lit(False).alias("outside")))
+    flat = parts.select("item", "stem", F.explode(F.array_distinct(
+        F.when(F.size("own") == 0, hide_all).otherwise(found))).alias("e"))
+    up = F.when(F.col("e.kind") == POSITIVE, ancestors_of("e.node")).otherwise(F.array("e.node"))
+    return (flat.select("item", "stem", "e.kind", F.explode(up).alias("node"), "e.outside")
+            .groupBy("item", "stem", "kind", "node").agg(F.bool_or("outside").alias("outside")))
 
 
 def partial_labels(class_probs: DataFrame, class_map: DataFrame, nodes: DataFrame,

@@ -13,40 +13,44 @@ from pyspark.sql import functions as F
 from labelgrove.operators.metrics import micro_prf
 
 EPS = 1e-9
+MAX_LEVEL = 3
 
 
-def ancestors_of(node: Column | str) -> Column:
-    """Ids from the root down to the node itself, computed from the dotted id."""
-    c = F.col(node) if isinstance(node, str) else node
-    parts = F.split(c, "[.]")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)),
-                       lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+def _col(node: Column | str) -> Column:
+    return F.col(node) if isinstance(node, str) else node
 
 
 def level_of(node: Column | str) -> Column:
-    c = F.col(node) if isinstance(node, str) else node
-    return F.size(F.split(c, "[.]"))
+    c = _col(node)
+    return F.length(c) - F.length(F.replace(c, F.lit("."), F.lit(""))) + 1
+
+
+def ancestors_of(node: Column | str) -> Column:
+    """Ids from the root down to the node itself, computed from the dotted id.
+
+    Trees have at most `MAX_LEVEL` levels, so plain string functions do and the expression
+    stays inside generated code.
+    """
+    c = _col(node)
+    prefixes = F.array(*[F.substring_index(c, ".", i) for i in range(1, MAX_LEVEL + 1)])
+    return F.slice(prefixes, F.lit(1), level_of(c))
 
 
 def parent_of(node: Column | str) -> Column:
-    c = F.col(node) if isinstance(node, str) else node
-    parts = F.split(c, "[.]")
-    return F.when(F.size(parts) > 1,
-                  F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "."))
+    c = _col(node)
+    return F.when(F.contains(c, F.lit(".")), F.regexp_replace(c, "[.][^.]*$", ""))
 
 
 def family_of(node: Column | str) -> Column:
-    c = F.col(node) if isinstance(node, str) else node
-    return F.substring_index(c, ".", 1)
+    return F.substring_index(_col(node), ".", 1)
 
 
 def nodes_from_ids(ids: DataFrame) -> DataFrame:
     """Node table of every id in `ids(node)` and all its ancestors."""
-    every = ids.select(F.explode(ancestors_of("node")).alias("node")).distinct()
-    parents = every.select(parent_of("node").alias("node")).where("node is not null").distinct()
-    return (every.join(parents.withColumn("inner", F.lit(True)), "node", "left")
-            .select("node", parent_of("node").alias("parent"), level_of("node").alias("level"),
-                    F.col("inner").isNull().alias("is_leaf")))
+    up = ids.select(F.col("node").alias("own"), F.explode(ancestors_of("node")).alias("node"))
+    every = up.groupBy("node").agg(F.bool_and(F.col("own") == F.col("node")).alias("is_leaf"))
+    return every.select("node", parent_of("node").alias("parent"),
+                        level_of("node").alias("level"), "is_leaf")
 
 
 def closure(nodes: DataFrame) -> DataFrame:

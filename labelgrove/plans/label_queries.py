@@ -54,8 +54,7 @@ def unmapped_labels(t):
 
 def order_labels(t) -> DataFrame:
     effects = L.rule_effects(t.type_rules(), t.place_nodes())
-    types = t.order_types()
-    return L.observed_exhaustive(types, L.resolve(types, effects), t.place_nodes())
+    return L.exhaustive_labels(t.order_types(), effects, t.place_nodes())
 
 
 @query("observed_exhaustive", per_item_sql(OBSERVED))

@@ -17,6 +17,9 @@ def slug(c: Column | str) -> Column:
     return F.lower(F.replace(c, F.lit(" "), F.lit("_")))
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 class Tables:
     """Lazy access to the tables of one folder plus the frames derived from them."""
 
@@ -25,7 +28,11 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """The table, with its schema inferred only once per path."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     # ---- flat multi-label evaluation: documents with two partly observed labels
     def flat_obs(self) -> DataFrame:
