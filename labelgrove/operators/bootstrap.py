@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from labelgrove.functions.hashing import hash_int
 from labelgrove.operators.scan import row_numbers, running_totals, score_chunk
+from labelgrove.session import cut_lineage
 
 CHUNK_ROWS = 20_000
 KEYS = ["run", "node"]
@@ -81,16 +82,12 @@ def bootstrap_ap(obs: DataFrame, drawn: DataFrame, n_boot: int,
                            .cast("long").alias("chunk"))
     rows = rows.join(chunks, [*KEYS, "score"]).select(
         *KEYS, "chunk", F.lit(0).alias("kind"), "grp", "score", "n", "tp",
-        *[F.lit(None).cast(t).alias(c) for c, t in (("rs", "array<int>"), ("ms", "array<int>"),
-                                                    ("base_n", "array<double>"),
-                                                    ("base_tp", "array<double>"))])
+        *[F.lit(None).cast("array<int>").alias(c) for c in ("rs", "ms")])
     packed = drawn.groupBy("grp").agg(F.collect_list(F.struct("r", "m")).alias("rm")).select(
         "grp", F.col("rm.r").alias("rs"), F.col("rm.m").alias("ms"))
     markers = (rows.select(*KEYS, "chunk", "grp").distinct().join(packed, "grp").select(
         *KEYS, "chunk", F.lit(1).alias("kind"), "grp", F.lit(None).cast("double").alias("score"),
-        F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("tp"), "rs", "ms",
-        F.lit(None).cast("array<double>").alias("base_n"),
-        F.lit(None).cast("array<double>").alias("base_tp")))
+        F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("tp"), "rs", "ms"))
     inputs = rows.unionByName(markers)
 
     def chunk_totals(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,16 +106,12 @@ def bootstrap_ap(obs: DataFrame, drawn: DataFrame, n_boot: int,
     based = flat.select(*KEYS, "chunk", F.struct(
         "r", F.coalesce(F.sum("tot_n").over(above), F.lit(0.0)).alias("bn"),
         F.coalesce(F.sum("tot_tp").over(above), F.lit(0.0)).alias("bt")).alias("b"))
-    bases = (based.groupBy(*KEYS, "chunk").agg(F.array_sort(F.collect_list("b")).alias("b")).select(
-        *KEYS, "chunk", F.lit(2).alias("kind"), F.lit(None).cast("string").alias("grp"),
-        F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("n"),
-        F.lit(None).cast("long").alias("tp"), F.lit(None).cast("array<int>").alias("rs"),
-        F.lit(None).cast("array<int>").alias("ms"), F.col("b.bn").alias("base_n"),
-        F.col("b.bt").alias("base_tp")))
-
-    def chunk_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    bases = (based.groupBy(*KEYS, "chunk").agg(F.array_sort(F.collect_list("b")).alias("b"))
+             .select(*KEYS, "chunk", F.col("b.bn").alias("base_n"), F.col("b.bt").alias("base_tp")))
+
+    def chunk_parts(pdf: pd.DataFrame, above_it: pd.DataFrame) -> pd.DataFrame:
         n, tp = _prepare(pdf, n_boot)
-        base = pdf[pdf["kind"] == 2].iloc[0]
+        base = above_it.iloc[0]
         cum_n = np.asarray(base["base_n"])[None, :] + n.cumsum(0)
         cum_tp = np.asarray(base["base_tp"])[None, :] + tp.cumsum(0)
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -127,8 +120,8 @@ def bootstrap_ap(obs: DataFrame, drawn: DataFrame, n_boot: int,
                              "r": np.arange(n_boot), "part": part, "n": n.sum(0),
                              "tp": tp.sum(0)})
 
-    parts = (inputs.withColumn("grp", F.col("grp").cast("string")).unionByName(bases)
-             .groupBy(*KEYS, "chunk")
+    # the same shuffle of `inputs` serves both passes
+    parts = (inputs.groupBy(*KEYS, "chunk").cogroup(bases.groupBy(*KEYS, "chunk"))
              .applyInPandas(chunk_parts, "run string, node string, r int, part double, "
                                          "n double, tp double"))
     total = parts.groupBy(*KEYS, "r").agg(*[F.sum(c).alias(c) for c in ("part", "n", "tp")])
@@ -136,6 +129,12 @@ def bootstrap_ap(obs: DataFrame, drawn: DataFrame, n_boot: int,
     return total.select(*KEYS, "r", F.when(defined, F.col("part") / F.col("tp")).alias("ap"))
 
 
+def resample(obs: DataFrame, drawn: DataFrame, n_boot: int) -> DataFrame:
+    """`bootstrap_ap` computed once and kept in the checkpoint folder, as several intervals
+    usually read it; it has one row per run, node and resample."""
+    return cut_lineage(bootstrap_ap(obs, drawn, n_boot))
+
+
 def macro_draws(ap: DataFrame, by_node: bool = False) -> DataFrame:
     """(run, node, r, value): mean over defined classes per resample, or each class by itself."""
     if by_node:
@@ -151,16 +150,17 @@ def paired_ci(values: DataFrame, point: DataFrame, candidate: str, incumbent: st
     `values(run, node, r, value)`, `point(run, node, value)`. A resample counts only if the
     metric is defined on both sides.
     """
-    def side(df: DataFrame, run: str, name: str) -> DataFrame:
-        return df.where(F.col("run") == run).drop("run").withColumnRenamed("value", name)
+    def side_by_side(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(
+            F.max(F.when(F.col("run") == candidate, F.col("value"))).alias("c"),
+            F.max(F.when(F.col("run") == incumbent, F.col("value"))).alias("i"))
 
-    both = side(values, candidate, "c").join(side(values, incumbent, "i"), ["node", "r"])
+    both = side_by_side(values, "node", "r")
     d = F.col("c") - F.col("i")
     ci = both.groupBy("node").agg(
         F.percentile(d, F.lit(alpha / 2)).alias("lo"),
         F.percentile(d, F.lit(1 - alpha / 2)).alias("hi"), F.count(d).alias("n_valid"))
-    points = side(point, candidate, "c").join(side(point, incumbent, "i"), "node").select(
-        "node", d.alias("delta"))
+    points = side_by_side(point, "node").select("node", d.alias("delta"))
     return points.join(ci, "node", "left").select(
         "node", "delta", "lo", "hi", F.coalesce("n_valid", F.lit(0)).alias("n_valid"),
         F.lit(n_boot).alias("n_boot"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelgrove.functions.scores import binary_loss, logit, sigmoid
+from labelgrove.operators.scan import exact_percentile
 from labelgrove.session import cut_lineage
 
 T_MIN, T_MAX = 0.05, 20.0
@@ -123,5 +124,5 @@ def distill_gate(labels: DataFrame, pairs: DataFrame, teacher: DataFrame | None
     scored = gate.join(teacher, ["item", "node"])
     if quantile is None:
         return scored
-    cut = teacher.groupBy("node").agg(F.percentile("score", F.lit(quantile)).alias("cut"))
+    cut = exact_percentile(teacher, ["node"], "score", quantile, "cut")
     return scored.join(cut, "node").where(F.col("score") >= F.col("cut")).drop("cut")

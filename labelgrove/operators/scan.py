@@ -70,16 +70,18 @@ def row_numbers(df: DataFrame, keys: list[str], chunk: str, order: list[Column],
 
 
 def carry_last(df: DataFrame, keys: list[str], chunk: str, order: list[Column],
-               values: dict[str, str]) -> DataFrame:
-    """Last non-null of each value column at or before the row, in `order` within `keys`."""
+               values: dict[str, str], inclusive: bool = True) -> DataFrame:
+    """Last non-null of each value column at or before the row (strictly before unless
+    `inclusive`), in `order` within `keys`."""
     cols = [*keys, chunk]
     inside = Window.partitionBy(*cols).orderBy(*order)
-    up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
+    up_to = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = df.select("*", *[F.last(c, ignorenulls=True).over(up_to).alias(f"__l_{o}")
                              for c, o in values.items()],
                       F.row_number().over(inside).alias("__n"))
     ends = local.groupBy(*cols).agg(*[
-        F.max_by(f"__l_{o}", "__n").alias(f"__e_{o}") for o in values.values()])
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__n"))).alias(f"__e_{o}")
+        for c, o in values.items()])
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*cols, *[
         F.last(f"__e_{o}", ignorenulls=True).over(before).alias(f"__c_{o}")
@@ -124,3 +126,24 @@ def next_value(df: DataFrame, keys: list[str], chunk: str, order_cols: list[str]
     return joined.select(*df.columns, *[
         F.when(F.col("__n") == F.col("__m"), F.col(f"__c_{o}")).otherwise(F.col(f"__l_{o}")).alias(o)
         for o in values.values()])
+
+
+def exact_percentile(df: DataFrame, keys: list[str], value: str, q: float,
+                     name: str = "percentile", chunk: Column | None = None) -> DataFrame:
+    """Linear-interpolated percentile per key, without holding a key's values in one task.
+
+    `chunk` must be monotone in the value; the default suits probability-like values.
+    """
+    ties = (df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("chunk", score_chunk(value) if chunk is None else chunk))
+    run = running_totals(ties, keys, "chunk", [F.col(value).asc()], {"n": "cum"})
+    sizes = ties.groupBy(*keys).agg(F.sum("n").alias("size"))
+    pos = (F.col("size") - 1) * q
+    at = lambda k: (F.col("cum") - F.col("n") <= k) & (k < F.col("cum"))
+    picked = run.join(sizes, keys).withColumns({"lo": F.floor(pos), "hi": F.ceil(pos)})
+    picked = picked.where(at(F.col("lo")) | at(F.col("hi")))
+    ends = picked.groupBy(*keys, "size").agg(
+        F.max(F.when(at(F.col("lo")), F.col(value))).alias("lo_v"),
+        F.max(F.when(at(F.col("hi")), F.col(value))).alias("hi_v"))
+    share = pos - F.floor(pos)
+    return ends.select(*keys, (F.col("lo_v") + share * (F.col("hi_v") - F.col("lo_v"))).alias(name))

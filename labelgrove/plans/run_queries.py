@@ -208,7 +208,7 @@ BOOT_AP = f"""WITH runs AS ({RUNS}), {DRAWS},
 def boot_tables(t):
     runs = two_runs(t)
     drawn = B.draws(t.item_group(), N_BOOT, seed=1)
-    boot = B.bootstrap_ap(runs, drawn, N_BOOT)
+    boot = B.resample(runs, drawn, N_BOOT)
     point = M.average_precision(runs, ["run", "node"]).select("run", "node",
                                                               F.col("ap").alias("value"))
     return boot, point
@@ -372,7 +372,7 @@ def adoption_new_nodes(t):
     runs = two_runs(t)
     chance = runs.where("run = 'cand'").withColumns({"run": F.lit("chance"), "score": F.lit(0.0)})
     every = runs.unionByName(chance)
-    boot = B.bootstrap_ap(every, B.draws(t.item_group(), N_BOOT, seed=1), N_BOOT)
+    boot = B.resample(every, B.draws(t.item_group(), N_BOOT, seed=1), N_BOOT)
     point = macro_point(M.average_precision(every, ["run", "node"]).select(
         "run", "node", F.col("ap").alias("value")))
     values = B.macro_draws(boot)
