@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ("metric_queries", "label_queries", "split_queries", "run_queries", "report_queries")
+QUERY_MODULES = ("metric_queries", "label_queries", "split_queries", "run_queries", "report_queries",
+                 "library_queries")
 
 
 def all_queries():
