@@ -87,10 +87,14 @@ def limit_log(requests: DataFrame, limit: int, window_s: int = 60) -> DataFrame:
     def replay(batches):
         current, hits = None, deque()
         for pdf in batches:
-            for (key, period), part in pdf.groupby(["key", "period"], sort=False):
+            out = []
+            for key, period, now in zip(pdf["key"], pdf["period"], pdf["ts"]):
                 if (key, period) != current:
                     current, hits = (key, period), deque()
-                yield _replay(key, hits, part, limit, window_s)
+                out.append(decide(hits, now, limit, window_s))
+            yield pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "ts": pdf["ts"],
+                                "allowed": [o[0] for o in out], "remaining": [o[1] for o in out],
+                                "reset": [o[2] for o in out]})
 
     return (periods.select("key", "period", "ts", "event_id").repartition("key", "period")
             .sortWithinPartitions("key", "period", "ts", "event_id").mapInPandas(replay, DECISION))
