@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 QUERY_MODULES = ("metric_queries", "label_queries", "split_queries", "run_queries", "report_queries",
-                 "library_queries", "clip_queries")
+                 "library_queries", "clip_queries", "source_queries",
+                 "function_queries")
 
 
 def all_queries():
