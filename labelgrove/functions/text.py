@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the note and dynamics vocabularies.
 SEMITONES = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
@@ -32,7 +33,7 @@ def lookup(table: dict, key: Column) -> Column:
     return F.when(key.isin(*table), _lookup(table, key))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_unicode(names: pd.Series) -> pd.Series:
     """NFKC and case folding, which Spark has no function for."""
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LIBRARY = {name: T.StructType.fromDDL(ddl) for name, ddl in {
+LIBRARY = {
     "users": "id BIGINT, email STRING, created_at TIMESTAMP",
     "songs": "id BIGINT, user_id BIGINT, content_hash STRING, title STRING, artist STRING, "
              "duration_s DOUBLE, fmt STRING, uploaded_at TIMESTAMP",
@@ -21,7 +21,7 @@ LIBRARY = {name: T.StructType.fromDDL(ddl) for name, ddl in {
     "stems": "analysis_id BIGINT, song_id BIGINT, name STRING, object_key STRING, bytes BIGINT, "
              "expires_at TIMESTAMP",
     "cost_ledger": "user_id BIGINT, day DATE, gpu_s DOUBLE, storage_bytes BIGINT, jobs_count BIGINT",
-}.items()}
+}
 UNIQUE = {"users": ["email"], "songs": ["content_hash"], "genre_tags": ["song_id", "tag"],
           "cost_ledger": ["user_id", "day"]}
 REFERENCES = (("songs", "user_id", "users"), ("jobs", "song_id", "songs"),
@@ -30,6 +30,11 @@ REFERENCES = (("songs", "user_id", "users"), ("jobs", "song_id", "songs"),
               ("instruments", "analysis_id", "analyses"), ("stems", "analysis_id", "analyses"))
 
 
+def library_schema(table: str) -> T.StructType:
+    """Schema of a library table (needs a running session)."""
+    return T.StructType.fromDDL(LIBRARY[table])
+
+
 def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
