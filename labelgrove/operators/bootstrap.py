@@ -73,8 +73,8 @@ def bootstrap_ap(obs: DataFrame, drawn: DataFrame, n_boot: int,
 
     `obs(run, node, grp, y, score)`, `drawn(grp, r, m)`.
     """
-    rows = (obs.groupBy(*KEYS, "score", "grp")
-            .agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("tp")))
+    rows = cut_lineage(obs.groupBy(*KEYS, "score", "grp")
+                       .agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("tp")))
     per_score = (rows.groupBy(*KEYS, "score").agg(F.count(F.lit(1)).alias("m"))
                  .withColumn("sc", score_chunk("score")))
     placed = running_totals(per_score, KEYS, "sc", [F.col("score").desc()], {"m": "upto"}, True)

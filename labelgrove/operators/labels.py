@@ -90,29 +90,35 @@ def mask_pairs(nodes: DataFrame) -> DataFrame:
             .distinct())
 
 
-def observed_exhaustive(items: DataFrame, resolved: DataFrame, nodes: DataFrame,
+def masks(nodes: DataFrame) -> DataFrame:
+    """(root, hidden): `mask_pairs` as one small set per root."""
+    return mask_pairs(nodes).groupBy("root").agg(F.collect_set("node").alias("hidden"))
+
+
+def observed_exhaustive(items: DataFrame | None, resolved: DataFrame, nodes: DataFrame,
                         keys: list[str] | None = None) -> DataFrame:
     """(keys, node, y) for sources that annotate everything they contain.
 
     All nodes are observed except unknown subtrees and their ancestors; positives always are.
-    The per-item sets are bounded by the size of the taxonomy.
+    `items` adds items without any resolved row (None when there are none). The per-item sets are
+    bounded by the size of the taxonomy.
     """
     keys = keys or ["item"]
-    pos = resolved.where(F.col("kind") == POSITIVE).select(*keys, "node", F.lit(True).alias("p"))
-    roots = resolved.where(F.col("kind") == UNKNOWN).select(*keys, F.col("node").alias("root"))
-    hidden = (roots.where(F.col("root") != ALL).join(mask_pairs(nodes), "root")
-              .select(*keys, "node").union(roots.where(F.col("root") == ALL)))
-    marks = pos.unionByName(hidden.toDF(*keys, "node").withColumn("p", F.lit(False)))
-    sets = marks.groupBy(*keys).agg(
-        F.collect_set(F.when(F.col("p"), F.col("node"))).alias("pos"),
-        F.collect_set(F.when(~F.col("p"), F.col("node"))).alias("hid"))
     none = F.array().cast("array<string>")
     every = nodes.agg(F.array_sort(F.collect_list("node"))).scalar()
-    full = (items.select(*keys).distinct().join(sets, keys, "left")
-            .withColumns({"pos": F.coalesce("pos", none), "hid": F.coalesce("hid", none)}))
+    unknown = F.col("kind") == UNKNOWN
+    rows = (resolved.where(F.col("kind").isin(POSITIVE, UNKNOWN))
+            .join(masks(nodes).withColumnRenamed("root", "node"), "node", "left"))
+    sets = rows.groupBy(*keys).agg(
+        F.collect_set(F.when(~unknown, F.col("node"))).alias("pos"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(
+            unknown, F.coalesce("hidden", F.array("node")))))).alias("hid"))
+    if items is not None:
+        sets = (items.select(*keys).distinct().join(sets, keys, "left")
+                .withColumns({"pos": F.coalesce("pos", none), "hid": F.coalesce("hid", none)}))
     observed = F.when(F.array_contains("hid", ALL), F.col("pos")).otherwise(
         F.array_union(F.array_except(every, "hid"), "pos"))
-    return (full.withColumn("node", F.explode(observed))
+    return (sets.withColumn("node", F.explode(observed))
             .select(*keys, "node", F.array_contains("pos", F.col("node")).alias("y")))
 
 
@@ -314,21 +320,32 @@ def context_labels(tracks: DataFrame, effects: DataFrame, nodes: DataFrame,
                    vocab: ContextVocabulary) -> DataFrame:
     """(item, node, y) of windows whose labels depend on the other tracks of the song.
 
-    `tracks(item, type, state, bleed, genre)`. Song facts are boolean aggregates per item and
-    per (item, type), joined back; no row-at-a-time logic.
+    `tracks(item, type, state, bleed, genre)`. The distinct tracks of an item (at most types x
+    states x 2) are collected in one shuffle; song facts are tests on that small set, and what
+    follows keeps the partitioning by item.
     """
-    bleed = F.coalesce(F.col("bleed"), F.lit(False))
-    sounding = F.col("state") != "silent"
-    clean = (F.col("state") == "active") & ~bleed
     genre = F.lower(F.coalesce("genre", F.lit("")))
-    facts = tracks.groupBy("item").agg(
-        F.bool_or(genre.isin(*vocab.rap_genres)).alias("rap"),
-        ((F.bool_or((F.col("type") == vocab.drum_machine) & sounding)
-          | F.bool_or(genre.isin(*vocab.kit_genres)))
-         & ~F.bool_or(F.col("type").isin(vocab.full_kit, vocab.overheads) & clean)).alias("ambiguous"))
-    per_type = tracks.groupBy("item", "type").agg(F.bool_and(bleed).alias("bleed_only"))
-    rows = (tracks.withColumns({"bleed": bleed, "silent": ~sounding, "clean": clean})
-            .join(facts, "item").join(per_type, ["item", "type"])
+    track = F.struct("type", "state", F.coalesce("bleed", F.lit(False)).alias("bleed"),
+                     genre.alias("genre"))
+    songs = tracks.groupBy("item").agg(F.collect_set(track).alias("set"))
+
+    def some(test) -> Column:
+        return F.exists("set", test)
+
+    def clean_track(x: Column) -> Column:
+        return (x["state"] == "active") & ~x["bleed"]
+
+    facts = songs.withColumns({
+        "rap": some(lambda x: x["genre"].isin(*vocab.rap_genres)),
+        "ambiguous": (some(lambda x: (x["type"] == vocab.drum_machine) & (x["state"] != "silent"))
+                      | some(lambda x: x["genre"].isin(*vocab.kit_genres)))
+        & ~some(lambda x: x["type"].isin(vocab.full_kit, vocab.overheads) & clean_track(x))})
+    rows = (facts.withColumn("t", F.explode("set"))
+            .withColumn("bleed_only", ~F.exists("set", lambda x: (x["type"] == F.col("t.type"))
+                                                & ~x["bleed"]))
+            .select("item", "rap", "ambiguous", "bleed_only", F.col("t.type").alias("type"),
+                    (F.col("t.state") == "silent").alias("silent"),
+                    clean_track(F.col("t")).alias("clean"))
             .join(effects.select(F.col("label").alias("type"), "effects"), "type", "left"))
     mapped = F.col("effects").isNotNull()
 
@@ -354,15 +371,13 @@ def context_labels(tracks: DataFrame, effects: DataFrame, nodes: DataFrame,
                .when(~mapped, hide_all)
                .when(F.col("clean"), rule)
                .otherwise(hide(rule)))
-    out = rows.select("item", F.explode(implied).alias("e")).select("item", "e.kind", "e.node")
+    always = F.array(effect(UNKNOWN, vocab.always_unknown))
+    out = rows.select("item", F.explode(F.concat(implied, always)).alias("e")).select(
+        "item", "e.kind", "e.node")
     out = out.where(~((F.col("kind") == POSITIVE) & (F.col("node") == vocab.always_unknown)))
-    items = tracks.select("item").distinct()
-    always = items.select("item", F.lit(UNKNOWN).alias("kind"),
-                          F.lit(vocab.always_unknown).alias("node"))
     up = F.when(F.col("kind") == POSITIVE, ancestors_of("node")).otherwise(F.array("node"))
-    resolved = (out.unionByName(always)
-                .select("item", "kind", F.explode(up).alias("node")).distinct())
-    labels = observed_exhaustive(items, resolved, nodes)
+    resolved = out.select("item", "kind", F.explode(up).alias("node"))
+    labels = observed_exhaustive(None, resolved, nodes)
     return labels.where(F.col("y") | ~F.col("node").isin(*vocab.constant_mask))
 
 

@@ -64,9 +64,9 @@ def tie_groups(obs: DataFrame, keys: list[str]) -> DataFrame:
             .withColumn("chunk", score_chunk("score")))
 
 
-def precision_curve(obs: DataFrame, keys: list[str]) -> DataFrame:
+def precision_curve(ties: DataFrame, keys: list[str]) -> DataFrame:
     """Cumulative counts down the ranking, ties taken together (last row of each tie)."""
-    return running_totals(tie_groups(obs, keys), keys, "chunk", [F.col("score").desc()],
+    return running_totals(ties, keys, "chunk", [F.col("score").desc()],
                           {"n": "cum_n", "tp": "cum_tp"}, descending=True)
 
 
@@ -77,7 +77,12 @@ def average_precision(obs: DataFrame, keys: list[str] | None = None) -> DataFram
     positives or negatives.
     """
     keys = ["node"] if keys is None else keys
-    curve = precision_curve(obs, keys).select(
+    return ap_from_ties(tie_groups(obs, keys), keys)
+
+
+def ap_from_ties(ties: DataFrame, keys: list[str]) -> DataFrame:
+    """`average_precision` from the table of distinct scores."""
+    curve = precision_curve(ties, keys).select(
         *keys, "n", "tp", (F.col("tp") * F.col("cum_tp") / F.col("cum_n")).alias("part"))
     totals = curve.groupBy(*keys).agg(F.sum("n").alias("n_observed"),
                                       F.sum("tp").alias("n_positive"),
@@ -107,7 +112,13 @@ def macro(per_class: DataFrame, value: str = "ap", by: list[str] | None = None)
 
 def micro_average_precision(obs: DataFrame) -> DataFrame:
     """AP over one pool of all observed (item, class) pairs; null only without positives."""
-    pool = average_precision(obs.select("y", "score"), [])
+    return micro_from_ties(tie_groups(obs.select("y", "score"), []))
+
+
+def micro_from_ties(ties: DataFrame) -> DataFrame:
+    """`micro_average_precision` from distinct scores of any classes."""
+    pool = ap_from_ties(ties.groupBy("score", "chunk").agg(F.sum("n").alias("n"),
+                                                           F.sum("tp").alias("tp")), [])
     all_positive = (F.col("n_positive") == F.col("n_observed")) & (F.col("n_observed") > 0)
     return pool.select("n_observed", "n_positive",
                        F.when(all_positive, F.lit(1.0)).otherwise(F.col("ap")).alias("ap"))
@@ -230,9 +241,15 @@ def per_node_chance(obs: DataFrame) -> DataFrame:
         F.when(prev < 1, (F.col("ap") - prev) / (1 - prev)).alias("lift"))
 
 
+def brier_from_ties(ties: DataFrame, keys: list[str]) -> DataFrame:
+    n, tp, s = F.col("n"), F.col("tp"), F.col("score")
+    return ties.groupBy(*keys).agg(
+        (F.sum(tp * (1 - s) * (1 - s) + (n - tp) * s * s) / F.sum("n")).alias("brier"))
+
+
 def positive_ranks(obs: DataFrame) -> DataFrame:
     """Rank of every positive among the observed items of its class; ties share the best rank."""
-    curve = precision_curve(obs, ["node"]).select(
+    curve = precision_curve(tie_groups(obs, ["node"]), ["node"]).select(
         "node", F.col("score"), (F.col("cum_n") - F.col("n") + 1).alias("rank"),
         F.col("tp"))
     ranks = curve.where(F.col("tp") > 0).select("node", "score", "rank")

@@ -61,35 +61,31 @@ def candidate_costs(sizes: DataFrame, strata: DataFrame, fractions: dict[str, fl
     """
     total = sum(fractions.values())
     share = {s: f / total for s, f in fractions.items()}
-    per_size = _assign(sizes, fractions, fixed, n_candidates, seed).groupBy("candidate").agg(
-        F.sum("n").alias("all"), *[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)
-                                         ).alias(f"n_{s}") for s in share])
-    size_cost = sum((F.pow((F.col(f"n_{s}") - F.lit(f) * F.col("all")) / F.col("all"), F.lit(2))
-                     for s, f in share.items()), F.lit(0.0))
-    per_stratum = _assign(strata, fractions, fixed, n_candidates, seed).groupBy(
-        "candidate", "stratum").agg(
+    # the size of a group is one more stratum (null), so one pass serves both terms
+    entries = strata.select("grp", "stratum", "n").unionByName(
+        sizes.select("grp", F.lit(None).cast("string").alias("stratum"), "n"))
+    groups = entries.groupBy("grp").agg(F.collect_list(F.struct("stratum", "n")).alias("e"))
+    counts = (_assign(groups, fractions, fixed, n_candidates, seed)
+              .select("candidate", "split", F.inline("e")).groupBy("candidate", "stratum").agg(
         F.sum("n").alias("c"), *[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)
-                                       ).alias(f"c_{s}") for s in share])
+                                       ).alias(f"c_{s}") for s in share]))
     deviation = sum((F.pow((F.col(f"c_{s}") - F.lit(f) * F.col("c")) / F.col("c"), F.lit(2))
                      for s, f in share.items()), F.lit(0.0))
     missing = sum((F.when((F.col("c") >= 3) & (F.col(f"c_{s}") == 0), 1).otherwise(0)
                    for s, f in share.items() if f > 0), F.lit(0))
-    stratum_cost = per_stratum.groupBy("candidate").agg(
-        F.sum(F.when(F.col("c") >= 2, deviation).otherwise(0.0) + missing).alias("strata_cost"))
-    return per_size.select("candidate", (5 * size_cost).alias("size_cost")).join(
-        stratum_cost, "candidate").select(
-        "candidate", (F.col("size_cost") + F.col("strata_cost")).alias("cost"))
+    part = F.when(F.col("stratum").isNull(), 5 * deviation).otherwise(
+        F.when(F.col("c") >= 2, deviation).otherwise(0.0) + missing)
+    return counts.groupBy("candidate").agg(F.sum(part).alias("cost"))
 
 
 def _assign(rows: DataFrame, fractions: dict[str, float], fixed: DataFrame | None,
             n_candidates: int, seed: int) -> DataFrame:
     """Every row under every candidate, with the split its group gets there."""
+    if fixed is not None:
+        rows = rows.join(fixed.select("grp", F.col("split").alias("pinned")), "grp", "left")
     many = rows.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
     drawn = pick_split(hash_uniform(seed, F.col("candidate"), F.col("grp")), fractions)
-    if fixed is None:
-        return many.withColumn("split", drawn)
-    pins = fixed.select("grp", F.col("split").alias("pinned"))
-    return many.join(pins, "grp", "left").withColumn("split", F.coalesce("pinned", drawn))
+    return many.withColumn("split", drawn if fixed is None else F.coalesce("pinned", drawn))
 
 
 def stratified_split(sizes: DataFrame, strata: DataFrame, fractions: dict[str, float],

@@ -123,31 +123,40 @@ def violations(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
                      F.count_if(F.col("child_score") > F.col("score") + EPS).alias("violations"))
 
 
-def hierarchical_counts(labels: DataFrame, scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """TP/FP/FN after closing predictions and truths upward, inside the observed pairs.
+def hierarchical_counts(labels: DataFrame, scores: DataFrame,
+                        thresholds: list[float]) -> DataFrame:
+    """(threshold, tp, fp, fn) after closing predictions and truths upward, inside the observed pairs.
 
     `labels(item, node, y)` holds observed pairs only; `scores(item, node, score)` may cover any
     node of the tree, since a prediction on a masked node still credits its observed ancestors.
+    All thresholds share one shuffle on (item, node).
     """
-    no, yes = F.lit(False), F.lit(True)
-    hits = scores.where(F.col("score") >= threshold).select(
-        "item", F.explode(ancestors_of("node")).alias("node"), no.alias("y"), yes.alias("p"),
-        no.alias("seen"))
-    truths = labels.where("y").select(
-        "item", F.explode(ancestors_of("node")).alias("node"), yes.alias("y"), no.alias("p"),
-        no.alias("seen"))
-    observed = labels.select("item", "node", no.alias("y"), no.alias("p"), yes.alias("seen"))
-    cells = hits.unionByName(truths).unionByName(observed).groupBy("item", "node").agg(
-        F.bool_or("y").alias("y"), F.bool_or("p").alias("p"), F.bool_or("seen").alias("seen"))
-    return cells.where("seen").agg(
-        F.count_if(F.col("y") & F.col("p")).alias("tp"),
-        F.count_if(~F.col("y") & F.col("p")).alias("fp"),
-        F.count_if(F.col("y") & ~F.col("p")).alias("fn"))
-
-
-def hierarchical_prf(labels: DataFrame, scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pooled hierarchical precision, recall and F1; null where a ratio is undefined."""
-    return micro_prf(hierarchical_counts(labels, scores, threshold))
+    low = min(thresholds)
+    hits = scores.where(F.col("score") >= low).select(
+        "item", F.explode(ancestors_of("node")).alias("node"), F.lit(False).alias("y"),
+        F.lit(False).alias("seen"), "score")
+    truths = labels.select(
+        "item", F.col("node").alias("own"), "y",
+        F.explode(F.when(F.col("y"), ancestors_of("node")).otherwise(F.array("node"))).alias("node")
+    ).select("item", "node", "y", (F.col("own") == F.col("node")).alias("seen"),
+             F.lit(None).cast("double").alias("score"))
+    cells = hits.unionByName(truths).groupBy("item", "node").agg(
+        F.bool_or("y").alias("y"), F.bool_or("seen").alias("seen"), F.max("score").alias("score"))
+    rows = [F.struct(F.lit(float(t)).alias("threshold"),
+                     F.count_if(F.col("y") & _hit(t)).alias("tp"),
+                     F.count_if(~F.col("y") & _hit(t)).alias("fp"),
+                     F.count_if(F.col("y") & ~_hit(t)).alias("fn")) for t in thresholds]
+    return cells.where("seen").agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def _hit(threshold: float) -> Column:
+    return F.coalesce(F.col("score") >= threshold, F.lit(False))
+
+
+def hierarchical_prf(labels: DataFrame, scores: DataFrame,
+                     thresholds: list[float] | None = None) -> DataFrame:
+    """Pooled hierarchical precision, recall and F1 per threshold; null where undefined."""
+    return micro_prf(hierarchical_counts(labels, scores, thresholds or [0.5]), ["threshold"])
 
 
 def project(scores: DataFrame, projection: DataFrame, keys: list[str] | None = None) -> DataFrame:

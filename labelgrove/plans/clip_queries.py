@@ -11,6 +11,7 @@ from labelgrove.operators import taxonomy as T
 from labelgrove.plans.catalog import query
 from labelgrove.plans.metric_queries import r6
 from labelgrove.plans.standins import PLACE_NODES, PLACES
+from labelgrove.session import cut_lineage
 
 DAY, HOP = 86400.0, 43200.0
 BASE = 1704067200
@@ -86,8 +87,8 @@ def assigned(t):
     w = C.with_role(C.window_notes(notes(t), DAY, HOP))
     keys = ["midi_id", "w", "track", "role"]
     poly = C.max_polyphony(w, keys, "start_in", "end_in", HOP)
-    chosen = C.sample_windows(C.window_parts(w, 3), seed=4)
-    p = C.window_parts(w, 3).join(chosen, ["midi_id", "w"], "left_semi").join(poly, keys)
+    p = cut_lineage(C.window_parts(w, 3).join(poly, keys))
+    p = p.join(C.sample_windows(p, seed=4), ["midi_id", "w"], "left_semi")
     pools, hints = C.leaf_pools(t.spark, list(LEAVES))
     return C.assign_leaves(p, pools, hints, seed=4)
 

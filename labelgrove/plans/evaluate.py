@@ -1,7 +1,7 @@
 """Score a run: align predictions with labels, then derive every headline metric.
 
-All metrics come from one table of distinct (node, score) counts, which is the same exchange for
-every branch, so the observations are shuffled once.
+All metrics except the hierarchical ones come from one table of distinct (node, score) counts. It is
+written once to the checkpoint folder, as the evaluated arrays of a run are archived anyway.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from labelgrove.operators import metrics as M
 from labelgrove.operators import taxonomy as T
+from labelgrove.session import cut_lineage
 
 CONFIDENT = 0.6
 N_BINS = 15
@@ -40,10 +41,9 @@ def require_predictions(labels: DataFrame, predictions: DataFrame) -> DataFrame:
         F.raise_error(message).cast("boolean"))).drop("p")
 
 
-def node_table(obs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def node_table(ties: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per node: counts, AP, skip reason and TP/FP/FN at both thresholds."""
-    ties = M.tie_groups(obs, ["node"])
-    ap = M.average_precision(obs).select("node", "ap")
+    ap = M.ap_from_ties(ties, ["node"]).select("node", "ap")
 
     def total(cond, col):
         return F.sum(F.when(cond, col).otherwise(0))
@@ -64,9 +64,9 @@ def node_table(obs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out
 
 
-def calibration_table(obs: DataFrame) -> DataFrame:
+def calibration_table(ties: DataFrame) -> DataFrame:
     """(node, level, bin) counts from distinct scores, without classes only seen positive."""
-    ties = M.tie_groups(M.require_probability(obs), ["node"])
+    ties = M.require_probability(ties)
     b = F.least(F.floor(F.col("score") * N_BINS), F.lit(N_BINS - 1)).cast("int")
     n, tp, s = F.col("n"), F.col("tp"), F.col("score")
     bins = ties.groupBy("node", b.alias("bin")).agg(
@@ -84,8 +84,8 @@ def summary(labels: DataFrame, scores: DataFrame, leaves: DataFrame,
     `labels(item, node, y)`, `scores(item, node, score)`; `projected(node)` are the classes of the
     benchmark projection. Every branch ends in a one-row aggregate over node-sized tables.
     """
-    obs = align(labels, scores)
-    per = node_table(obs, threshold).join(
+    ties = cut_lineage(M.tie_groups(align(labels, scores), ["node"]))
+    per = node_table(ties, threshold).join(
         leaves.select("node", F.lit(True).alias("leaf")), "node", "left").withColumn(
         "leaf", F.coalesce("leaf", F.lit(False)))
     if projected is not None:
@@ -107,10 +107,9 @@ def summary(labels: DataFrame, scores: DataFrame, leaves: DataFrame,
         *[F.avg(F.when(F.col("level") == lv, F.col("ap"))).alias(f"map_level_{lv}")
           for lv in range(1, T.MAX_LEVEL + 1)],
         F.avg(F.when(F.col("proj"), F.col("ap"))).alias("projection_map"))
-    pool = M.micro_average_precision(
-        obs.join(leaves.select("node"), "node", "left_semi")).select(
+    pool = M.micro_from_ties(ties.join(leaves.select("node"), "node", "left_semi")).select(
         F.col("ap").alias("map_micro_leaf"))
-    bins = calibration_table(obs)
+    bins = calibration_table(ties)
     if projected is not None:
         bins = bins.join(projected.select("node", F.lit(True).alias("proj")), "node", "left")
     else:
@@ -124,13 +123,12 @@ def summary(labels: DataFrame, scores: DataFrame, leaves: DataFrame,
                                                     F.col("ece").alias("value"))
     classwise = (M.ece_from_bins(bins, ["node"]).agg(F.avg("ece").alias("ece_classwise")))
     brier = bins.agg((F.sum("sum_sq") / F.sum("n")).alias("brier"))
-    hier = [T.hierarchical_prf(labels, scores, thr).select(
-        F.col("f1").alias(f"hier_f1{tag}"), *([F.col("precision").alias("hier_precision"),
-                                               F.col("recall").alias("hier_recall")]
-                                              if not tag else []))
-        for tag, thr in (("", threshold), ("_t60", CONFIDENT))]
+    hier = T.hierarchical_prf(labels, scores, [threshold, CONFIDENT]).agg(*[
+        F.max(F.when(F.col("threshold") == thr, F.col(c))).alias(name)
+        for thr, c, name in ((threshold, "f1", "hier_f1"), (threshold, "precision", "hier_precision"),
+                             (threshold, "recall", "hier_recall"), (CONFIDENT, "f1", "hier_f1_t60"))])
     out = ece
-    for wide in (headline, pool, classwise, brier, *hier):
+    for wide in (headline, pool, classwise, brier, hier):
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"),
                                              F.col(c).cast("double").alias("value"))
                                     for c in wide.columns])).alias("p")

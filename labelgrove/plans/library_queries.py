@@ -11,6 +11,7 @@ from labelgrove.plans.report_queries import INTERVALS, frames
 from labelgrove.plans.standins import PLACE_NODES, PLACES
 from labelgrove.sources import schema as SCH
 from labelgrove.sources.literal import small_table
+from labelgrove.session import work_folder
 from labelgrove.streaming import jobs as J
 from labelgrove.streaming import limiter as LIM
 
@@ -322,7 +323,7 @@ def with_state_store(t):
 def rate_limit_stream(t):
     """The limiter as a stateful stream, drained into a table."""
     s = event_stream(with_state_store(t))
-    out = J.run_to_table(LIM.limit_stream(requests(s), 2, DAY), J.work_folder(t.spark, "limit"))
+    out = J.run_to_table(LIM.limit_stream(requests(s), 2, DAY), work_folder(t.spark, "limit"))
     return allowed_counts(out)
 
 
@@ -339,7 +340,7 @@ def trailing_hit_count(t):
 # ---- streams
 @query("stream_cost_ledger", LEDGER)
 def stream_cost_ledger(t):
-    out = J.run_to_table(J.daily_ledger(costs(event_stream(t))), J.work_folder(t.spark, "ledger"), "update")
+    out = J.run_to_table(J.daily_ledger(costs(event_stream(t))), work_folder(t.spark, "ledger"), "update")
     return as_ledger(J.upserted(out, ["user_id", "day"]))
 
 
@@ -358,7 +359,7 @@ STATUS = "CASE WHEN value > 60 THEN 'done' WHEN value > 20 THEN 'running' ELSE '
     arg_max({STATUS}, (ts, event_id)) AS status FROM events GROUP BY 1, 2""")
 def stream_stage_progress(t):
     s = J.stage_progress(job_events(event_stream(t)))
-    out = J.run_to_table(s, J.work_folder(t.spark, "progress"), "update")
+    out = J.run_to_table(s, work_folder(t.spark, "progress"), "update")
     return J.upserted(out, ["job_id", "stage"])
 
 
@@ -386,7 +387,7 @@ def stream_dedup(t):
     s = J.read_table_stream(t.spark, t.folder, "documents", t.read("documents").schema)
     up = s.select(F.col("doc_id").alias("upload_id"), F.sha2("text", 256).alias("content_hash"),
                   F.timestamp_seconds(F.col("doc_id")).alias("ts"))
-    out = J.run_to_table(J.dedup_stream(up, "10000 days"), J.work_folder(t.spark, "dedup"))
+    out = J.run_to_table(J.dedup_stream(up, "10000 days"), work_folder(t.spark, "dedup"))
     return out.select("content_hash")
 
 
@@ -404,7 +405,7 @@ def batch_ingest_new_content(t):
     ON c.user_id = i.song AND c.event_type = i.label WHERE i.end_s < c.n""")
 def stream_intervals(t):
     """Closed intervals from a frame stream (open tails stay in the state store)."""
-    folder = J.work_folder(with_state_store(t).spark, "frames")
+    folder = work_folder(with_state_store(t).spark, "frames")
     f = frames(t).select(F.concat_ws("/", "song", "label").alias("series"), "frame", "p")
     f.write.parquet(f"{folder}/in/frames.parquet")
     s = J.read_table_stream(t.spark, f"{folder}/in/frames.parquet", "*", f.schema)

@@ -16,6 +16,7 @@ from labelgrove.plans import evaluate as E
 from labelgrove.plans.catalog import query
 from labelgrove.plans.metric_queries import BINS_SQL, CALIB, PRF_SQL, prf_cols, r6
 from labelgrove.plans.standins import FLAT_OBS, LEAF_OBS, LEVEL, TREE_OBS, ap_sql
+from labelgrove.session import cut_lineage
 from labelgrove.sources.literal import small_table
 
 
@@ -66,7 +67,7 @@ def child_parent_violations(t):
 def hierarchical_prf(t):
     labels = t.tree_obs().where((T.level_of("node") < 3) | (F.col("item") % 2 == 0))
     scores = t.leaf_obs().where("item % 3 <> 0")
-    return T.hierarchical_prf(labels, scores, 0.6).withColumns(
+    return T.hierarchical_prf(labels, scores, [0.6]).drop("threshold").withColumns(
         {c: r6(c) for c in ("precision", "recall", "f1")})
 
 
@@ -108,7 +109,8 @@ def merged_class_diagnostic(t):
 
 # ---- a whole run
 def run_tables(t):
-    obs = t.tree_obs()
+    """Labels and scores of a stored run."""
+    obs = t.stored(t.tree_obs(), "run")
     return obs.select("item", "node", "y"), obs.select("item", "node", "score")
 
 
@@ -206,7 +208,7 @@ BOOT_AP = f"""WITH runs AS ({RUNS}), {DRAWS},
 
 
 def boot_tables(t):
-    runs = two_runs(t)
+    runs = t.stored(two_runs(t), "runs")
     drawn = B.draws(t.item_group(), N_BOOT, seed=1)
     boot = B.resample(runs, drawn, N_BOOT)
     point = M.average_precision(runs, ["run", "node"]).select("run", "node",
@@ -281,11 +283,12 @@ def paired_run_alignment(t):
 def run_metrics(t):
     """(metric, candidate, incumbent): mean AP per level, overall, and Brier of both runs."""
     runs = two_runs(t, 3)
-    ap = M.average_precision(runs, ["run", "node"]).withColumn("level", T.level_of("node"))
+    ties = cut_lineage(M.tie_groups(runs, ["run", "node"]))
+    ap = M.ap_from_ties(ties, ["run", "node"]).withColumn("level", T.level_of("node"))
     scope = F.explode(F.array(F.lit("map_macro"),
                               F.concat(F.lit("map_level_"), F.col("level").cast("string"))))
     maps = ap.withColumn("metric", scope).groupBy("metric", "run").agg(F.avg("ap").alias("value"))
-    brier = M.brier(runs, ["run"]).select(F.lit("brier").alias("metric"), "run",
+    brier = M.brier_from_ties(ties, ["run"]).select(F.lit("brier").alias("metric"), "run",
                                           F.col("brier").alias("value"))
     both = maps.unionByName(brier)
     return both.groupBy("metric").agg(
@@ -369,7 +372,7 @@ CHANCE_BOOT = f"""WITH runs AS (SELECT * FROM ({RUNS}) q UNION ALL
 @query("adoption_new_nodes", f"""{CHANCE_BOOT} SELECT li > 0 AND lh > 0 AS passed,
     round(li, 6) AS lo_incumbent, round(lh, 6) AS lo_chance FROM lo""")
 def adoption_new_nodes(t):
-    runs = two_runs(t)
+    runs = t.stored(two_runs(t), "runs")
     chance = runs.where("run = 'cand'").withColumns({"run": F.lit("chance"), "score": F.lit(0.0)})
     every = runs.unionByName(chance)
     boot = B.resample(every, B.draws(t.item_group(), N_BOOT, seed=1), N_BOOT)

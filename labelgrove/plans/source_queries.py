@@ -15,7 +15,7 @@ from labelgrove.sources import datasets as D
 from labelgrove.sources import runs as R
 from labelgrove.sources import taxonomy_files as TF
 from labelgrove.sources.literal import small_table
-from labelgrove.streaming.jobs import work_folder
+from labelgrove.session import work_folder
 
 
 # ---- label readers

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelgrove.operators.taxonomy import ancestors_of, nodes_from_ids
+from labelgrove.session import work_folder
 from labelgrove.sources.literal import small_table
 
 
@@ -34,6 +35,13 @@ class Tables:
             _SCHEMAS[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` written once to the shared checkpoint folder and read back, for plans that read it
+        several times (a run's labels and scores are stored tables in practice)."""
+        path = work_folder(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     # ---- flat multi-label evaluation: documents with two partly observed labels
     def flat_obs(self) -> DataFrame:
         labels = self.read("labels").selectExpr(

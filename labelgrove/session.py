@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """New folder in the shared checkpoint location."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` once in the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)

@@ -6,15 +6,12 @@ function takes a streaming or a batch DataFrame and gives equal rows for equal i
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from labelgrove.session import checkpoint_dir
+
 
 WATERMARK = "1 hour"
 TERMINAL = ("done", "failed", "partial")
@@ -106,11 +103,6 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, schema) -> Da
             .option("maxFilesPerTrigger", 16).parquet(folder))
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """New folder in the shared checkpoint location."""
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Drain everything available into parquet and read it back.
 
