@@ -1,7 +1,7 @@
 """Cluster bootstrap of average precision: resample groups, recompute every run on the same draws.
 
 Rows are first reduced to distinct (run, node, score, group) counts. Each class is cut into chunks
-of at most `chunk_rows` such rows along its ranking; a chunk gets the cumulative counts of all
+of bounded size along its ranking; a chunk gets the cumulative counts of all
 chunks above it for every resample, so its share of each resampled AP is one vectorised pass.
 No task ever holds a whole class, and the resamples never multiply the shuffled rows.
 """
@@ -10,15 +10,24 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelgrove.functions.hashing import hash_int
 from labelgrove.operators.scan import row_numbers, running_totals, score_chunk
 from labelgrove.session import cut_lineage
 
-CHUNK_ROWS = 20_000
 KEYS = ["run", "node"]
+CELLS = 8_000_000  # counts (rows x resamples) one Python call holds at most
+DRAW_BLOCK = 65_536
+# row kinds of a chunk: ranking rows, draw counts of a group, and scores summed per resample
+ROWS, GROUPS, TIES = 0, 1, 2
+_TYPES = {"grp": "string", "score": "double", "n": "long", "tp": "long", "rs": "array<int>",
+          "ms": "array<int>", "vn": "array<long>", "vtp": "array<long>"}
+
+
+def _empty(*columns: str) -> list[Column]:
+    return [F.lit(None).cast(_TYPES[c]).alias(c) for c in columns]
 
 
 def group_index(groups: DataFrame, group: str = "grp") -> DataFrame:
@@ -34,10 +43,12 @@ def draws(groups: DataFrame, n_boot: int, seed: int = 0, group: str = "grp") ->
     index = group_index(groups, group)
     n_groups = groups.agg(F.count_distinct(group)).scalar()
     resamples = groups.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("r"))
-    picks = (resamples.withColumn("n_groups", n_groups)
-             .select("r", "n_groups", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                           F.col("n_groups") - 1)).alias("d"))
-             .select("r", (hash_int(seed, F.col("r"), F.col("d")) % F.col("n_groups")).alias("idx")))
+    last = F.col("n_groups") - 1
+    blocks = resamples.withColumn("n_groups", n_groups).select("r", "n_groups", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.floor(last / DRAW_BLOCK))).alias("b"))
+    one = F.sequence(F.col("b") * DRAW_BLOCK, F.least(F.col("b") * DRAW_BLOCK + DRAW_BLOCK - 1, last))
+    picks = blocks.select("r", "n_groups", F.explode(one).alias("d")).select(
+        "r", (hash_int(seed, F.col("r"), F.col("d")) % F.col("n_groups")).alias("idx"))
     counts = picks.groupBy("r", "idx").agg(F.count(F.lit(1)).cast("int").alias("m"))
     return counts.join(index, "idx").select(group, "r", "m")
 
@@ -51,44 +62,67 @@ def identity_draws(groups: DataFrame, n_boot: int, group: str = "grp") -> DataFr
 
 def _prepare(pdf: pd.DataFrame, n_boot: int):
     """Ranking rows of one chunk as weighted count matrices (distinct scores x resamples)."""
-    data = pdf[pdf["kind"] == 0].sort_values("score", ascending=False, kind="stable")
-    drawn = pdf[pdf["kind"] == 1]
+    data = pdf[pdf["kind"] == ROWS].sort_values("score", ascending=False, kind="stable")
+    drawn = pdf[pdf["kind"] == GROUPS]
     weights = np.zeros((len(drawn) + 1, n_boot))
     place = {}
     for i, (g, rs, ms) in enumerate(zip(drawn["grp"], drawn["rs"], drawn["ms"])):
         place[g] = i
         weights[i, np.asarray(rs, dtype=int)] = ms
     codes = data["grp"].map(place).fillna(len(drawn)).to_numpy(dtype=int)
-    score = data["score"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]]) if len(score) else []
-    w = weights[codes]
-    n = np.add.reduceat(w * data["n"].to_numpy()[:, None], starts, axis=0)
-    tp = np.add.reduceat(w * data["tp"].to_numpy()[:, None], starts, axis=0)
+    score = data["score"].to_numpy(dtype=float)
+    n, tp = np.zeros((0, n_boot)), np.zeros((0, n_boot))
+    if len(score):
+        starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        w = weights[codes]
+        n = np.add.reduceat(w * data["n"].to_numpy(dtype=float)[:, None], starts, axis=0)
+        tp = np.add.reduceat(w * data["tp"].to_numpy(dtype=float)[:, None], starts, axis=0)
+        score = score[starts]
+    ties = pdf[pdf["kind"] == TIES]
+    if len(ties):  # scores shared by very many groups arrive already summed per resample
+        extra = np.zeros((2, len(ties), n_boot))
+        for i, (rs, vn, vtp) in enumerate(zip(ties["rs"], ties["vn"], ties["vtp"])):
+            at = np.asarray(rs, dtype=int)
+            extra[0, i, at], extra[1, i, at] = vn, vtp
+        score = np.r_[score, ties["score"].to_numpy(dtype=float)]
+        order = np.argsort(-score, kind="stable")
+        n, tp = np.vstack([n, extra[0]])[order], np.vstack([tp, extra[1]])[order]
     return n, tp
 
 
 def bootstrap_ap(obs: DataFrame, drawn: DataFrame, n_boot: int,
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                 chunk_rows: int | None = None) -> DataFrame:
     """(run, node, r, ap) for every resample; null where a class lacks positives or negatives.
 
-    `obs(run, node, grp, y, score)`, `drawn(grp, r, m)`.
+    `obs(run, node, grp, y, score)`, `drawn(grp, r, m)`. A chunk has at most twice `chunk_rows`
+    rows: scores shared by more groups than that are summed per resample by Spark beforehand and
+    count as one row.
     """
+    limit = chunk_rows or max(500, CELLS // n_boot)
     rows = cut_lineage(obs.groupBy(*KEYS, "score", "grp")
                        .agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("tp")))
-    per_score = (rows.groupBy(*KEYS, "score").agg(F.count(F.lit(1)).alias("m"))
-                 .withColumn("sc", score_chunk("score")))
+    per_score = (rows.groupBy(*KEYS, "score").agg(F.count(F.lit(1)).alias("k"))
+                 .withColumns({"sc": score_chunk("score"), "heavy": F.col("k") > limit}))
+    per_score = per_score.withColumn("m", F.when(F.col("heavy"), 1).otherwise(F.col("k")))
     placed = running_totals(per_score, KEYS, "sc", [F.col("score").desc()], {"m": "upto"}, True)
-    chunks = placed.select(*KEYS, "score", F.floor((F.col("upto") - F.col("m")) / chunk_rows)
-                           .cast("long").alias("chunk"))
-    rows = rows.join(chunks, [*KEYS, "score"]).select(
-        *KEYS, "chunk", F.lit(0).alias("kind"), "grp", "score", "n", "tp",
-        *[F.lit(None).cast("array<int>").alias(c) for c in ("rs", "ms")])
+    chunk = F.floor((F.col("upto") - F.col("m")) / limit).cast("long").alias("chunk")
+    scores = placed.select(*KEYS, "score", "heavy", chunk)
+    located = rows.join(scores, [*KEYS, "score"])
+    light = located.where(~F.col("heavy")).select(
+        *KEYS, "chunk", F.lit(ROWS).alias("kind"), "grp", "score", "n", "tp", *_empty("rs", "ms", "vn", "vtp"))
     packed = drawn.groupBy("grp").agg(F.collect_list(F.struct("r", "m")).alias("rm")).select(
         "grp", F.col("rm.r").alias("rs"), F.col("rm.m").alias("ms"))
-    markers = (rows.select(*KEYS, "chunk", "grp").distinct().join(packed, "grp").select(
-        *KEYS, "chunk", F.lit(1).alias("kind"), "grp", F.lit(None).cast("double").alias("score"),
-        F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("tp"), "rs", "ms"))
-    inputs = rows.unionByName(markers)
+    groups = (light.select(*KEYS, "chunk", "grp").distinct().join(packed, "grp").select(
+        *KEYS, "chunk", F.lit(GROUPS).alias("kind"), "grp", *_empty("score", "n", "tp"), "rs", "ms",
+        *_empty("vn", "vtp")))
+    summed = (located.where("heavy").join(drawn, "grp").groupBy(*KEYS, "chunk", "score", "r")
+              .agg(F.sum(F.col("n") * F.col("m")).alias("vn"), F.sum(F.col("tp") * F.col("m")).alias("vtp"))
+              .groupBy(*KEYS, "chunk", "score").agg(F.collect_list(F.struct("r", "vn", "vtp")).alias("v")))
+    ties = summed.select(
+        *KEYS, "chunk", F.lit(TIES).alias("kind"), *_empty("grp"), "score", *_empty("n", "tp"),
+        F.col("v.r").alias("rs"), *_empty("ms"), F.col("v.vn").alias("vn"), F.col("v.vtp").alias("vtp"))
+    # both passes read this table; it keeps its partitioning, so neither shuffles it again
+    inputs = cut_lineage(light.unionByName(groups).unionByName(ties).repartition(*KEYS, "chunk"))
 
     def chunk_totals(pdf: pd.DataFrame) -> pd.DataFrame:
         n, tp = _prepare(pdf, n_boot)
@@ -120,7 +154,6 @@ def bootstrap_ap(obs: DataFrame, drawn: DataFrame, n_boot: int,
                              "r": np.arange(n_boot), "part": part, "n": n.sum(0),
                              "tp": tp.sum(0)})
 
-    # the same shuffle of `inputs` serves both passes
     parts = (inputs.groupBy(*KEYS, "chunk").cogroup(bases.groupBy(*KEYS, "chunk"))
              .applyInPandas(chunk_parts, "run string, node string, r int, part double, "
                                          "n double, tp double"))
