@@ -188,23 +188,28 @@ def paired_ci(values: DataFrame, point: DataFrame, candidate: str, incumbent: st
             F.max(F.when(F.col("run") == candidate, F.col("value"))).alias("c"),
             F.max(F.when(F.col("run") == incumbent, F.col("value"))).alias("i"))
 
-    both = side_by_side(values, "node", "r")
     d = F.col("c") - F.col("i")
-    ci = both.groupBy("node").agg(
-        F.percentile(d, F.lit(alpha / 2)).alias("lo"),
-        F.percentile(d, F.lit(1 - alpha / 2)).alias("hi"), F.count(d).alias("n_valid"))
-    points = side_by_side(point, "node").select("node", d.alias("delta"))
-    return points.join(ci, "node", "left").select(
-        "node", "delta", "lo", "hi", F.coalesce("n_valid", F.lit(0)).alias("n_valid"),
+    draws_ = side_by_side(values, "node", "r").select("node", d.alias("d"), F.lit(True).alias("drawn"))
+    points = side_by_side(point, "node").select("node", d.alias("d"), F.lit(False).alias("drawn"))
+    x = F.when(F.col("drawn"), F.col("d"))
+    return points.unionByName(draws_).groupBy("node").agg(
+        F.max(F.when(~F.col("drawn"), F.col("d"))).alias("delta"), *_interval(x, alpha),
         F.lit(n_boot).alias("n_boot"))
 
 
+def _interval(x: Column, alpha: float) -> list[Column]:
+    """Percentile interval over at most n_boot values per key."""
+    return [F.percentile(x, F.lit(alpha / 2)).alias("lo"),
+            F.percentile(x, F.lit(1 - alpha / 2)).alias("hi"), F.count(x).alias("n_valid")]
+
+
 def single_ci(values: DataFrame, point: DataFrame, n_boot: int, alpha: float = 0.05) -> DataFrame:
     """(run, node, value, lo, hi, n_valid, n_boot) of each run by itself, on the same draws."""
-    ci = values.groupBy("run", "node").agg(
-        F.percentile("value", F.lit(alpha / 2)).alias("lo"),
-        F.percentile("value", F.lit(1 - alpha / 2)).alias("hi"), F.count("value").alias("n_valid"))
-    return point.join(ci, ["run", "node"], "left").withColumn("n_boot", F.lit(n_boot))
+    rows = (point.select("run", "node", "value", F.lit(False).alias("drawn"))
+            .unionByName(values.select("run", "node", "value", F.lit(True).alias("drawn"))))
+    return rows.groupBy("run", "node").agg(
+        F.max(F.when(~F.col("drawn"), F.col("value"))).alias("value"),
+        *_interval(F.when(F.col("drawn"), F.col("value")), alpha), F.lit(n_boot).alias("n_boot"))
 
 
 def alignment_errors(candidate: DataFrame, incumbent: DataFrame) -> DataFrame:

@@ -31,7 +31,9 @@ def _best_temperature(counts: DataFrame, keys: list[str], centres: DataFrame | N
         temp = F.exp(F.ln(F.lit(T_MIN)) + F.col("g") * step)
         rows = counts.withColumn("g", F.explode(grid)).withColumn("t", temp)
     else:
-        rows = counts.join(centres, keys).withColumn("g", F.explode(grid)).withColumn(
+        near = (counts.join(centres, keys) if keys
+                else counts.withColumn("temperature", centres.select("temperature").scalar()))
+        rows = near.withColumn("g", F.explode(grid)).withColumn(
             "t", F.least(F.greatest(F.exp(F.ln("temperature") - log_width / 2 + F.col("g") * step),
                                     F.lit(T_MIN)), F.lit(T_MAX)))
     z = F.col("z") / F.col("t")
@@ -49,7 +51,7 @@ def fit_temperatures(obs: DataFrame, keys: list[str], rounds: int = 2) -> DataFr
 
     The loss is an aggregate over distinct scores, so a whole grid of T is one pass; each further
     round searches between the neighbours of the best point. Keys without both classes keep 1.
-    `keys` = ['level'] fits per level, a constant column fits one global temperature.
+    `keys` = ['level'] fits per level, no keys fit one global temperature.
     """
     from math import log
     counts = score_counts(obs, keys)

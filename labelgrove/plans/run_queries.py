@@ -443,8 +443,7 @@ def temperature_fit(t):
 @query("temperature_fit_global")
 def temperature_fit_global(t):
     """Global temperature with a refined grid (iterative, rows only)."""
-    obs = t.tree_obs().withColumn("level", F.lit("all"))
-    return C.fit_temperatures(obs, ["level"], rounds=2)
+    return C.fit_temperatures(t.tree_obs(), [], rounds=2)
 
 
 @query("temperature_apply", f"""SELECT node, count(*) AS n, round(avg(1 / (1 + exp(-z / t))), 6) AS mean_score
