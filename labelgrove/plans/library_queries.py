@@ -386,7 +386,7 @@ def stream_dedup(t):
     """First upload of each content, deduplicated on the stream."""
     s = J.read_table_stream(t.spark, t.folder, "documents", t.read("documents").schema)
     up = s.select(F.col("doc_id").alias("upload_id"), F.sha2("text", 256).alias("content_hash"),
-                  F.timestamp_seconds(F.col("doc_id")).alias("ts"))
+                  F.timestamp_seconds(F.col("doc_id") + 1704067200).alias("ts"))
     out = J.run_to_table(J.dedup_stream(up, "10000 days"), work_folder(t.spark, "dedup"))
     return out.select("content_hash")
 

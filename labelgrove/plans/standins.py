@@ -68,17 +68,28 @@ class Tables:
                 .join(self.customer_leaf(), F.col("o_custkey") == F.col("c_custkey"))
                 .select("o_orderkey", "node"))
 
-    def leaf_obs(self) -> DataFrame:
-        """(item, node, y, score, score2) at leaf level."""
+    def _line_groups(self) -> DataFrame:
+        """Line facts with the nation key and segment of their customer; names come later."""
         lines = self.read("lineitem").select(
             "l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_returnflag")
+        buyers = (self.read("orders").select("o_orderkey", "o_custkey")
+                  .join(self.read("customer").select("c_custkey", "c_nationkey", "c_mktsegment"),
+                        F.col("o_custkey") == F.col("c_custkey"))
+                  .select("o_orderkey", "c_nationkey", "c_mktsegment"))
+        return lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def leaf_obs(self) -> DataFrame:
+        """(item, node, y, score, score2) at leaf level; short keys are grouped, then named."""
         n = F.count(F.lit(1))
-        return (lines.join(self.order_leaf(), F.col("l_orderkey") == F.col("o_orderkey"))
-                .groupBy(F.col("l_partkey").alias("item"), "node")
-                .agg(F.bool_or(F.col("l_returnflag") == "R").alias("y"),
-                     (F.floor(F.sum("l_quantity") * 200.0 / n) / 10000.0).alias("score"),
-                     (F.floor(F.sum(F.round(F.col("l_discount") * 100).cast("long")) * 1000.0 / n)
-                      / 10000.0).alias("score2")))
+        per = self._line_groups().groupBy(
+            F.col("l_partkey").alias("item"), "c_nationkey", "c_mktsegment").agg(
+            F.bool_or(F.col("l_returnflag") == "R").alias("y"),
+            (F.floor(F.sum("l_quantity") * 200.0 / n) / 10000.0).alias("score"),
+            (F.floor(F.sum(F.round(F.col("l_discount") * 100).cast("long")) * 1000.0 / n)
+             / 10000.0).alias("score2"))
+        named = per.join(self.places(), F.col("c_nationkey") == F.col("n_nationkey"))
+        return named.select("item", F.concat_ws(".", "node", slug("c_mktsegment")).alias("node"),
+                            "y", "score", "score2")
 
     def tree_obs(self) -> DataFrame:
         """Leaf observations closed upward: y = any, scores = maximum below."""
