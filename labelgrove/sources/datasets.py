@@ -116,7 +116,7 @@ WINDOW_CLIP = ("schema string, song_id string, song string, artist string, genre
                "window struct<start_s: double, dur_s: double>, tracks array<struct<track_id: string, "
                "trackType: string, stemName: string, has_bleed: boolean, rms_db: double, "
                "peak_frame_db: double>>")
-WINDOW_SCHEMA = "moisesdb_clip/1"
+WINDOW_SCHEMA = "moisesdb_clip/1"  # format tag of the files (fixed value)
 
 
 def window_clips(spark: SparkSession, path: str, start_s: float | None = None) -> DataFrame:
