@@ -19,7 +19,7 @@ N_BINS = 15
 
 def align(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     """Observed pairs with a score: inner join on (item, node)."""
-    return labels.join(predictions.select("item", "node", "score"), ["item", "node"])
+    return labels.drop("score").join(predictions.select("item", "node", "score"), ["item", "node"])
 
 
 def alignment_counts(labels: DataFrame, predictions: DataFrame) -> DataFrame:
