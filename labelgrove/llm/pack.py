@@ -12,6 +12,7 @@ rank within their length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from labelgrove.llm.common import doc_key, from_key, prepare, stored
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
+#: Starts of special tokens, and separators that str.split takes for white space and the tokenizer does not.
+_UNSPLIT = re.compile(rb"<\||[\x1c-\x1f]")
 #: Chunks whose ids a worker remembers.
 REMEMBERED = 1_000_000
 #: Pieces of one length that are ranked in one task, about.
@@ -44,7 +47,7 @@ class Encoder:
 
     The tokenizer treats white-space separated chunks apart from each other, so chunks are encoded
     once and remembered; a chunk of letters and closing punctuation is two parts. Texts that hold
-    the start of a special token go to the tokenizer as they are.
+    the start of a special token or an odd separator go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -81,7 +84,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        chunks = [None if b"<|" in t else t.lower().decode().split() for t in texts]
+        chunks = [None if _UNSPLIT.search(t) else t.lower().decode().split() for t in texts]
         new = set().union(*(c for c in chunks if c)) - self.known.keys()
         if len(new) > REMEMBERED // 2 and len(texts) > 1:
             half = len(texts) // 2
