@@ -14,6 +14,9 @@ from labelgrove.session import SETTINGS, work_folder
 #: Stands for a null doc_id in keys; no document may carry it as its own id.
 NULL_ID = -(2 ** 63)
 
+#: Rows of whole texts that a task exchanges with Python at once.
+BATCH_ROWS = 3000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -21,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Session settings that the operators rely on."""
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}).items():
         spark.conf.set(key, value)
 
 

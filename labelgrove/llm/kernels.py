@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that one pass handles at a time (one longer text is handled alone).
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 #: Bytes that end a word: space and tab to carriage return.
 WHITE = (0x20, *range(0x09, 0x0E))

@@ -32,7 +32,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Starts of special tokens, and separators that str.split takes for white space and the tokenizer does not.
 _UNSPLIT = re.compile(rb"<\||[\x1c-\x1f]")
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 200_000
 
