@@ -95,6 +95,10 @@ def job_calibrate(spark, a) -> DataFrame:
 
 JOBS = {"taxonomy": job_taxonomy, "run": job_run, "baseline": job_baseline, "coverage": job_coverage,
         "make-split": job_make_split, "compare": job_compare, "calibrate": job_calibrate}
+#: Jobs whose whole result goes to --output.
+REPORTS = ("taxonomy", "coverage", "compare")
+#: Rows printed on the console.
+PREVIEW = 200
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -109,7 +113,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--n-boot", type=int, default=1000)
     a = p.parse_args(argv)
-    JOBS[a.job](get_session(f"labelgrove-{a.job}"), a).show(200, truncate=False)
+    result = JOBS[a.job](get_session(f"labelgrove-{a.job}"), a)
+    if a.output and a.job in REPORTS:
+        result.write.parquet(a.output)
+        result = result.sparkSession.read.parquet(a.output)
+    result.show(PREVIEW, truncate=False)
+    if (rows := result.count()) > PREVIEW:
+        print(f"{rows} rows, of which {PREVIEW} are shown; --output takes all")
 
 
 if __name__ == "__main__":

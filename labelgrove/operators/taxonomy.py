@@ -26,14 +26,9 @@ def level_of(node: Column | str) -> Column:
 
 
 def ancestors_of(node: Column | str) -> Column:
-    """Ids from the root down to the node itself, computed from the dotted id.
-
-    Trees have at most `MAX_LEVEL` levels, so plain string functions do and the expression
-    stays inside generated code.
-    """
-    c = _col(node)
-    prefixes = F.array(*[F.substring_index(c, ".", i) for i in range(1, MAX_LEVEL + 1)])
-    return F.slice(prefixes, F.lit(1), level_of(c))
+    """Ids from the root down to the node itself, computed from the dotted id, at any depth."""
+    parts = F.split(_col(node), "[.]")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
 
 
 def parent_of(node: Column | str) -> Column:

@@ -293,3 +293,11 @@ def test_balanced_pools(spark):
     counts = [r["count"] for r in out]
     assert sum(counts) == 103 and max(counts) - min(counts) <= 1
     assert math.isclose(len(counts), 5)
+
+
+def test_ancestors_reach_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from labelgrove.operators.taxonomy import ancestors_of
+    row = spark.createDataFrame([("a.b.c.d",)], "node string").select(ancestors_of(F.col("node")).alias("up")).first()
+    assert row.up == ["a", "a.b", "a.b.c", "a.b.c.d"]
