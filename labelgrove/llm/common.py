@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import zstandard
@@ -70,3 +71,17 @@ def packed_texts(texts: DataFrame) -> DataFrame:
 
 def unpack(packed: bytes | None) -> bytes:
     return b"" if packed is None else zstandard.ZstdDecompressor().decompress(packed)
+
+
+_HELD: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between tasks under `name`. Workers serve one stage after another, so
+    asking for another name drops what was kept before and gives unused memory back."""
+    if name not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            pa.default_memory_pool().release_unused()
+        _HELD[name] = make()
+    return _HELD[name]

@@ -10,7 +10,6 @@ whatever stands between words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelgrove.llm.common import crc_of_id, prepare
+from labelgrove.llm.common import crc_of_id, held, prepare
 
 #: N-grams in a profile.
 RANKS = 300
@@ -32,9 +31,12 @@ _SIZES = (SYMBOLS, SYMBOLS ** 2, SYMBOLS ** 3)
 _CELLS = sum(_SIZES)
 
 
-@cache
 def _lower_letters() -> np.ndarray:
     """Code point of the lower-case letter for each code point; 0 for what is no letter."""
+    return held("letters", _make_letters)
+
+
+def _make_letters() -> np.ndarray:
     out = np.zeros(0x110000, np.uint32)
     for c in range(0x110000):
         if chr(c).isalpha():

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelgrove.llm.common import doc_key, from_key, keyed_texts, packed_texts, prepare, stored, unpack
+from labelgrove.llm.common import doc_key, from_key, held, keyed_texts, packed_texts, prepare, stored, unpack
 from labelgrove.llm.components import connected_components
 from labelgrove.llm.kernels import RUN_BASE, Words, mix, runs_hash, white_words, word_blocks
 
@@ -70,6 +70,7 @@ def _min_hashes(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held("shingles", lambda: None)
     for batch in batches:
         docs = batch.column(0)
         for at, to, words in word_blocks(batch.column(1), fold=True):
@@ -136,8 +137,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def table_rows(reps: DataFrame) -> DataFrame:
-    """(bucket, doc, degree): one row per table key that may be shared; degree says how widely a
-    document's sub-keys are shared."""
+    """(bucket, doc, order): one row per table key that may be shared. `order` puts first how widely
+    a document's sub-keys are shared, then a hash of its id: one long, so that sets are aggregated
+    without sorting them."""
     keys = reps.select("doc", F.posexplode("keys").alias("pos", "value")).select(
         "doc", (F.col("pos") >= SUBKEYS).alias("second"), F.xxhash64("pos", "value").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
@@ -145,9 +147,11 @@ def table_rows(reps: DataFrame) -> DataFrame:
         F.collect_list(F.when(~F.col("second"), F.col("key"))).alias("a"),
         F.collect_list(F.when(F.col("second"), F.col("key"))).alias("b"),
         F.sum(F.log2("docs")).alias("degree"))
-    return (own.select("doc", "degree", F.explode("a").alias("x"), "b")
-            .select("doc", "degree", "x", F.explode("b").alias("y"))
-            .select(F.xxhash64("x", "y").alias("bucket"), "doc", "degree"))
+    widely = F.shiftleft((F.col("degree") * 256).cast("long"), 44)
+    own = own.withColumn("order", widely + F.shiftrightunsigned(F.xxhash64("doc"), 20))
+    return (own.select("doc", "order", F.explode("a").alias("x"), "b")
+            .select("doc", "order", "x", F.explode("b").alias("y"))
+            .select(F.xxhash64("x", "y").alias("bucket"), "doc", "order"))
 
 
 def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,16 +192,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     # tables: every document that shares one, with the table's best-connected document
     rows = stored(table_rows(reps), "tables")
-    centres = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("docs"), F.max(
-        F.struct("degree", (-F.col("doc")).alias("last"), F.col("doc").alias("centre"))).alias("top"))
-    rows = stored(rows.join(centres.where("docs > 1").select("bucket", "top"), "bucket").select(
-        "bucket", "doc", F.col("top.centre").alias("centre"), F.col("top.degree").alias("degree")), "shared")
+    centres = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("docs"), F.max("order").alias("top"), F.max_by("doc", "order").alias("centre"))
+    rows = stored(rows.join(centres.where("docs > 1").drop("docs"), "bucket").select(
+        "bucket", "doc", "centre", "top"), "shared")
     texts = stored(packed_texts(keyed_texts(documents)).join(
         rows.select("doc").distinct(), "doc"), "texts")
 
     # first, each document with the best-connected one among the centres of its tables
     first = rows.where("doc != centre").groupBy(F.col("doc").alias("u")).agg(
-        F.max_by("centre", F.struct("degree", "centre")).alias("v"))
+        F.max_by("centre", "top").alias("v"))
     links = stored(confirmed(first, texts), "links")
     several = members.groupBy("doc").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     links = links.unionByName(members.join(several, "doc").where("rep != v").select(F.col("rep").alias("u"), "v"))

@@ -16,7 +16,6 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelgrove.llm.common import doc_key, from_key, prepare, stored
+from labelgrove.llm.common import doc_key, from_key, held, prepare, stored
 
 CAPACITY = 4096
 END = 1
@@ -99,14 +98,9 @@ class Encoder:
         return out
 
 
-@cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def _tokenize(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(path), np.array([END], "<u4").tobytes()
+        encoder, end = held(f"encoder {path}", lambda: Encoder(path)), np.array([END], "<u4").tobytes()
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "").cast(pa.binary())
             for at in range(0, len(texts), 500):
