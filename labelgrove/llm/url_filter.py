@@ -66,9 +66,8 @@ def listed(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = captures.where(F.col("at").isNotNull() & F.col("url").isNotNull()).select(
         "id", F.col("at").alias("fetched"), F.explode(lookup_keys(F.col("url"))).alias("key"),
         number("at").alias("slice"))
-    last = captures.agg(F.max(number("at")).alias("last"))
-    spans = intervals(entries).join(F.broadcast(last)).withColumn(
-        "end", F.least(F.coalesce(number("until"), F.col("last")), F.col("last"))).where(
+    last = F.lit(captures.agg(F.max(number("at"))).first()[0]).cast("long")
+    spans = intervals(entries).withColumn("end", F.least(F.coalesce(number("until"), last), last)).where(
         number("since") <= F.col("end")).withColumn("slice", F.explode(F.sequence(number("since"), F.col("end"))))
     active = asked.join(spans.select("list", "pattern", "since", "until", "slice"), (
         (F.col("key") == F.col("pattern")) & (asked["slice"] == spans["slice"]) & (F.col("since") <= F.col("fetched"))
