@@ -167,7 +167,7 @@ def layered_tokens(stem: Column) -> Column:
         plain = lookup(WIDE_DYNAMICS, t)
         numbered = lookup(WIDE_DYNAMICS, word)
         layer = F.when(F.rlike(t, F.lit("^vl?\\d$")), 30 + 22 * F.right(t, F.lit(1)).cast("int"))
-        robin = F.when(F.rlike(t, F.lit("^rr\\d+$")), F.substring(t, 3, 9).cast("int")).when(
+        robin = F.when(F.rlike(t, F.lit("^rr\\d+$")), F.substring(t, 3, 1_000_000).try_cast("int")).when(
             F.rlike(t, F.lit("^\\d{1,2}$")), t.try_cast("int"))
         robin = F.when(numbered.isNotNull() & plain.isNull(), F.nullif(take, F.lit("")).cast("int")
                        ).otherwise(robin)
