@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrove.operators import audit, bootstrap, calibrate, gate, metrics, splits
+from labelgrove.operators import audit, bootstrap, calibrate, gate, metrics, splits, taxonomy
 from labelgrove.plans import evaluate
 from labelgrove.session import get_session
 from labelgrove.sources import runs, taxonomy_files
@@ -44,8 +44,19 @@ def job_taxonomy(spark, a) -> DataFrame:
 
 
 def job_run(spark, a) -> DataFrame:
-    """Score predictions(item, node, score) against labels(item, node, y) and archive the run."""
+    """Score predictions(item, node, score) against labels(item, node, y) and archive the run.
+
+    Repeated (item, node) pairs are refused, and so are items without predictions unless allowed.
+    Scores are made consistent up the tree unless switched off.
+    """
     labels, scores = spark.read.parquet(a.input), spark.read.parquet(a.scores)
+    evaluate.require_unique(labels, "labels")
+    evaluate.require_unique(scores, "predictions")
+    missing = evaluate.alignment_counts(labels, scores).first()["n_missing_predictions"]
+    if missing and not a.allow_missing:
+        raise ValueError(f"{missing} labelled items have no predictions")
+    if not a.no_propagate:
+        scores = taxonomy.complete_scores(scores).drop("synthesised")
     summary = evaluate.summary(labels, scores, spark.read.parquet(a.nodes).where("is_leaf"))
     folder = runs.archive_run(evaluate.align(labels, scores), summary, a.output, a.stamp, a.name)
     return spark.read.parquet(f"{folder}/metrics")
@@ -70,20 +81,30 @@ def job_make_split(spark, a) -> DataFrame:
 
 
 def job_compare(spark, a) -> DataFrame:
-    """Gate of a candidate against an incumbent, both (item, node, y, score, grp) of equal pairs."""
+    """Gate of a candidate against an incumbent, both (item, node, y, score, grp) of equal pairs.
+
+    The primary is the mean AP of the leaves, with its interval; SECONDARIES may not regress. Leaves come from --nodes, else they are the observed nodes without an observed child.
+    """
     sides = {"cand": spark.read.parquet(a.input), "inc": spark.read.parquet(a.scores)}
+    for name, df in sides.items():
+        evaluate.require_unique(df, name)
+    if a.nodes:
+        leaves = spark.read.parquet(a.nodes).where("is_leaf").select("node")
+    else:
+        seen = sides["cand"].select("node").distinct()
+        leaves = seen.join(seen.select(taxonomy.parent_of("node").alias("node")), "node", "left_anti")
+    summaries = [evaluate.summary(df.select("item", "node", "y"), df.select("item", "node", "score"), leaves)
+                 for df in sides.values()]
+    table = gate.metric_pairs(*summaries).where(F.col("metric").isin(PRIMARY, *SECONDARIES))
     both = gate.union_all([df.select(F.lit(r).alias("run"), "item", "node", "y", "score", "grp")
-                           for r, df in sides.items()])
-    ap = metrics.average_precision(both, ["run", "node"]).select("run", "node", F.col("ap").alias("value"))
+                           for r, df in sides.items()]).join(leaves, "node", "left_semi")
     drawn = bootstrap.draws(sides["cand"].select("grp"), a.n_boot, a.seed)
     values = bootstrap.macro_draws(bootstrap.resample(both, drawn, a.n_boot))
-    point = ap.groupBy("run").agg(F.avg("value").alias("value")).withColumn("node", F.lit("(macro)"))
+    point = metrics.average_precision(both, ["run", "node"]).groupBy("run").agg(
+        F.avg("ap").alias("value")).withColumn("node", F.lit("(macro)"))
     ci = bootstrap.paired_ci(values, point, "cand", "inc", a.n_boot)
-    table = point.agg(F.lit("map_macro").alias("metric"), *[
-        F.max(F.when(F.col("run") == r, F.col("value"))).alias(c)
-        for r, c in (("cand", "candidate"), ("inc", "incumbent"))])
     errors = bootstrap.alignment_errors(sides["cand"], sides["inc"])
-    return gate.promotion_gate(table, "map_macro", errors, ci)
+    return gate.promotion_gate(table, PRIMARY, errors, ci)
 
 
 def job_calibrate(spark, a) -> DataFrame:
@@ -97,6 +118,10 @@ JOBS = {"taxonomy": job_taxonomy, "run": job_run, "baseline": job_baseline, "cov
         "make-split": job_make_split, "compare": job_compare, "calibrate": job_calibrate}
 #: Jobs whose whole result goes to --output.
 REPORTS = ("taxonomy", "coverage", "compare")
+#: Metric that a candidate must improve.
+PRIMARY = "map_leaf"
+#: Metrics that may not regress (fixed values).
+SECONDARIES = ("map_macro", "f1_macro_leaf", "hier_f1", "ece", "ece_classwise")
 #: Rows printed on the console.
 PREVIEW = 200
 
@@ -108,6 +133,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--scores", help="predictions, or the incumbent's observations")
     p.add_argument("--nodes", help="node table")
     p.add_argument("--output", help="folder to write; never overwritten")
+    p.add_argument("--allow-missing", action="store_true", help="run: score items that have predictions only")
+    p.add_argument("--no-propagate", action="store_true", help="run: keep scores as they are")
     p.add_argument("--name", default="run")
     p.add_argument("--stamp", default=time.strftime("%Y%m%dT%H%M%SZ", time.gmtime()))
     p.add_argument("--seed", type=int, default=0)

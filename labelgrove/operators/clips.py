@@ -63,7 +63,7 @@ def window_parts(windowed: DataFrame, min_notes: int = MIN_NOTES) -> DataFrame:
     """Parts with enough notes: one row per (file, window, track, role)."""
     keys = ["midi_id", "w", "track", "role"]
     return windowed.groupBy(*keys).agg(
-        F.first("program").alias("program"), F.bool_or("is_drum").alias("is_drum"),
+        F.min("program").alias("program"), F.bool_or("is_drum").alias("is_drum"),
         F.count(F.lit(1)).alias("n_notes"),
         F.sum(F.col("end_in") - F.col("start_in")).alias("sounding_s"),
         F.bool_or(F.col("is_drum") & F.col("pitch").isin(*gm.CYMBAL_NOTES)).alias("cymbals")

@@ -32,13 +32,11 @@ def alignment_counts(labels: DataFrame, predictions: DataFrame) -> DataFrame:
                     F.count_if(F.col("l").isNull()).alias("n_extra_predictions"))
 
 
-def require_predictions(labels: DataFrame, predictions: DataFrame) -> DataFrame:
-    """The labels, failing if an item has no prediction at all."""
-    seen = predictions.select("item").distinct().withColumn("p", F.lit(True))
-    joined = labels.join(seen, "item", "left")
-    message = F.concat(F.lit("no predictions for item "), F.col("item").cast("string"))
-    return joined.withColumn("y", F.when(F.col("p"), F.col("y")).otherwise(
-        F.raise_error(message).cast("boolean"))).drop("p")
+def require_unique(rows: DataFrame, what: str) -> None:
+    """Fails if an (item, node) pair occurs more than once."""
+    repeated = rows.groupBy("item", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if (row := repeated.first()) is not None:
+        raise ValueError(f"{what}: item {row['item']}, node {row['node']} occurs {row['n']} times")
 
 
 def node_table(ties: DataFrame, threshold: float = 0.5) -> DataFrame:

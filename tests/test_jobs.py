@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from labelgrove import jobs
 
 
@@ -16,8 +18,20 @@ def test_jobs(spark, tmp_path, capsys):
     spark.createDataFrame([("a", False), ("a.b", True)], "node string, is_leaf boolean").write.parquet(p("nodes"))
     jobs.main(["compare", "--input", p("cand"), "--scores", p("inc"), "--n-boot", "40"])
     assert "|true   |true" in capsys.readouterr().out
+    good.withColumn("score", 0.98 + good.score * 0.02).write.parquet(p("loud"))  # same order, ruined calibration
+    jobs.main(["compare", "--input", p("loud"), "--scores", p("inc"), "--nodes", p("nodes"), "--n-boot", "40"])
+    out = capsys.readouterr().out
+    assert "|false  |true" in out and "secondary ece regressed" in out
     jobs.main(["run", "--input", p("inc"), "--scores", p("inc"), "--nodes", p("nodes"), "--output", p("runs")])
     assert "map_leaf" in capsys.readouterr().out
+    obs.where("item < 40").write.parquet(p("half"))
+    part = ["run", "--input", p("inc"), "--scores", p("half"), "--nodes", p("nodes"), "--output", p("part")]
+    with pytest.raises(ValueError, match="40 labelled items"):
+        jobs.main(part)
+    jobs.main([*part, "--allow-missing"])
+    obs.union(obs.limit(1)).write.parquet(p("twice"))
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        jobs.main(["run", "--input", p("twice"), "--scores", p("inc"), "--nodes", p("nodes"), "--output", p("no")])
     jobs.main(["make-split", "--input", p("inc"), "--output", p("pin")])
     jobs.main(["baseline", "--input", p("inc"), "--nodes", p("nodes"), "--output", p("prior")])
     assert spark.read.parquet(p("prior")).count() == 2
