@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 
 from labelgrove.llm import class_lm
+from oracle import DATA
 
 
 def ids(held_out):
@@ -25,3 +26,53 @@ def test_every_word_has_a_class_of_its_own_context(spark):
     got = {r.doc_id: r for r in class_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert abs(got[held[0]].base_score - got[held[1]].base_score) < 1e-9
     assert got[held[0]].score > got[held[1]].score
+
+
+def test_exchange_ends_where_a_round_gains_nothing(spark):
+    """Likelihood and scores by plain loops; a further round of moves gains less than the tolerance."""
+    class_lm.prepare(spark)
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 120").select(
+        "doc_id", "text", (class_lm.crc_of_id() % 7 == 2).alias("held_out"))
+    model, _ = class_lm.train(rows)
+    texts = {r.doc_id: (r.held_out, class_lm.words_of((r.text or "").encode())) for r in rows.collect()}
+    count = collections.Counter(w for held, ws in texts.values() if not held for w in ws)
+    number = {w: i for i, w in enumerate(sorted(count, key=lambda w: (-count[w], w)))}
+    size = class_lm.class_count(len(number))
+    assert len(model.classes) == len(number) + 1
+    of = lambda w: int(model.classes[number[w]])
+    after = collections.Counter()
+    for held, ws in texts.values():
+        path = [size - 1, *[of(w) for w in ws], size - 1] if not held else []
+        after.update(zip(path, path[1:]))
+    before = collections.Counter()
+    for (a, _), n in after.items():
+        before[a] += n
+    mass = {c: sum(n + 1 for w, n in count.items() if of(w) == c) + 1 for c in range(size - 1)}
+    p = lambda a, c: (after[a, c] + 0.1) / (before[a] + 0.1 * size)
+    got = {r.doc_id: r.score for r in class_lm.score(rows.select("doc_id", "text")).collect()}
+    assert set(got) == set(texts)
+    for d, (_, ws) in texts.items():
+        if all(w in number for w in ws):
+            path = [size - 1, *[of(w) for w in ws], size - 1]
+            want = sum(math.log10(p(a, c)) for a, c in zip(path, path[1:])) + sum(math.log10((count[w] + 1) / mass[of(w)]) for w in ws)
+            assert abs(got[d] - want) < 1e-6 * max(1, abs(want))
+
+    steps = [np.array([model.classes[number[w]] if w else size - 1 for w in [None, *ws, None]]) for held, ws in texts.values() if not held]
+    words = [np.array([number[w] if w else len(number) for w in [None, *ws, None]]) for held, ws in texts.values() if not held]
+    table = np.zeros((size, size))
+    for x in steps:
+        np.add.at(table, (x[:-1], x[1:]), 1)
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    bits = lambda t: (f(t) - f(t.sum(0)) - f(t.sum(1)) + f(t.sum())) / t.sum() / math.log(2)
+    pairs = collections.Counter((int(a), int(b)) for x in words for a, b in zip(x, x[1:]))
+    near = class_lm.neighbours(spark.createDataFrame([(*k, n) for k, n in pairs.items()], "a int, b int, n long"), len(number), [])
+    new, now = model.classes, table
+    for half in (0, 1):
+        new = class_lm.moved_classes(near, new, now, half, 2, 0)
+        now = np.zeros((size, size))
+        for x in words:
+            np.add.at(now, (new[x[:-1]], new[x[1:]]), 1)
+    assert bits(now) - bits(table) < class_lm.TOLERANCE
+    spread = class_lm.neighbours(spark.createDataFrame([(*k, n) for k, n in pairs.items()], "a int, b int, n long"), len(number), [3, 2])
+    one, two = (class_lm.moved_classes(x, model.classes, table, 0, 1, s) for x, s in ((near, 0), (spread, 2)))
+    assert (one == two).all()
