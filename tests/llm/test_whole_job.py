@@ -76,3 +76,14 @@ def test_exchange_ends_where_a_round_gains_nothing(spark):
     spread = class_lm.neighbours(spark.createDataFrame([(*k, n) for k, n in pairs.items()], "a int, b int, n long"), len(number), [3, 2])
     one, two = (class_lm.moved_classes(x, model.classes, table, 0, 1, s) for x, s in ((near, 0), (spread, 2)))
     assert (one == two).all()
+
+
+def test_rows_of_one_id_are_scored_each_for_itself(spark):
+    train = next(ids(False))
+    filler = " ".join(f"w{i:05d}" for i in range(20_100))
+    rows = [(train, filler), (train, filler), (None, "zz rare"), (None, "zz rare"), (None, "w00001 zz unseen"), (train, "zz rare")]
+    got = class_lm.score(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id is None, r.n_tokens, r.n_known) for r in got.collect()) == [
+        (False, 3, 3), (False, 20_101, 20_101), (False, 20_101, 20_101), (True, 3, 3), (True, 3, 3), (True, 4, 4)]
+    alike = {round(r.score, 9) for r in got.where("doc_id is null and n_tokens = 3").collect()}
+    assert len(alike) == 1
