@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from labelgrove.llm.common import prepare, stored, table
 from labelgrove.llm.decontaminate import without_contaminated
 from labelgrove.llm.language import with_language
-from labelgrove.llm.near_dedup import without_near_duplicates
+from labelgrove.llm.near_dedup import without_near_duplicate_rows
 from labelgrove.llm.pack import pack
 from labelgrove.llm.secrets import redacted
 
@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    return without_near_duplicates(docs)
+    """The document with the smallest id of each group of similar texts stays."""
+    return without_near_duplicate_rows(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,11 @@ def keyed_texts(documents: DataFrame) -> DataFrame:
     return documents.select(doc_key().alias("doc"), "text")
 
 
+def keyed_rows(documents: DataFrame) -> DataFrame:
+    """The documents, stored, with a key `__row` of each row's own."""
+    return stored(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def crc_of_id() -> Column:
     """CRC-32 of doc_id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))

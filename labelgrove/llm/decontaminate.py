@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrove.llm.common import doc_key, from_key, prepare, stored
+from labelgrove.llm.common import doc_key, from_key, keyed_rows, prepare, stored
 
 WINDOW = 10
 #: Words of the block that indexes the shift table.
@@ -145,7 +145,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark window occurs, with their columns."""
-    hit = benchmark_hits(documents, benchmark).where(F.size("hits") > 0).select(
-        doc_key().alias("__doc")).distinct()
-    return documents.withColumn("__doc", doc_key()).join(hit, "__doc", "left_anti").drop("__doc")
+    """The documents in which no benchmark window occurs, with their columns; each row is judged
+    by its own text, whatever its id."""
+    rows = keyed_rows(documents)
+    hit = benchmark_hits(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark).where(
+        F.size("hits") > 0).select(F.col("doc_id").alias("__row"))
+    return rows.join(hit, "__row", "left_anti").select(*documents.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelgrove.llm.common import doc_key, from_key, held, keyed_texts, packed_texts, prepare, stored, unpack
+from labelgrove.llm.common import doc_key, from_key, held, keyed_rows, keyed_texts, packed_texts, prepare, stored, unpack
 from labelgrove.llm.components import connected_components
 from labelgrove.llm.kernels import RUN_BASE, Words, mix, runs_hash, white_words, word_blocks
 
@@ -235,3 +235,13 @@ def without_near_duplicates(documents: DataFrame) -> DataFrame:
     keep = near_duplicates(documents).where("kept").select(doc_key().alias("__doc")).distinct()
     return (documents.withColumn("__doc", doc_key()).join(keep, "__doc")
             .dropDuplicates(["__doc"]).drop("__doc"))
+
+
+def without_near_duplicate_rows(documents: DataFrame) -> DataFrame:
+    """One row of each group of similar texts, whatever its id: the one with the smallest id (null
+    ids first). Rows that share an id, or have none, are told apart by a key written with them."""
+    rows = keyed_rows(documents)
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__row")
+    first = found.join(rows.select("__row", doc_key().alias("doc")), "__row").groupBy(
+        "component_id").agg(F.min(F.struct("doc", "__row")).alias("first"))
+    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row").select(*documents.columns)

@@ -7,7 +7,8 @@ import zlib
 
 import numpy as np
 
-from labelgrove.llm import class_lm
+import corpus_pipeline
+from labelgrove.llm import class_lm, decontaminate
 from oracle import DATA
 
 
@@ -87,3 +88,18 @@ def test_rows_of_one_id_are_scored_each_for_itself(spark):
         (False, 3, 3), (False, 20_101, 20_101), (False, 20_101, 20_101), (True, 3, 3), (True, 3, 3), (True, 4, 4)]
     alike = {round(r.score, 9) for r in got.where("doc_id is null and n_tokens = 3").collect()}
     assert len(alike) == 1
+
+
+def test_pipeline_stages_judge_rows_not_ids(spark):
+    """Texts that duplicate nothing stay, with null or shared ids; a contaminated row takes no other with it."""
+    text = lambda x: " ".join(f"{x}{i}" for i in range(20))
+    rows = [(None, text("a")), (None, text("b")), (None, text("a")), (5, text("c")), (5, text("d")), (7, text("d")), (4, text("c")),
+            (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(None, text("a")), (None, text("b")), (4, text("c")), (5, text("d")), (None, None), (8, "")]
+    assert sorted(map(tuple, left.collect()), key=key) == sorted(want, key=key)
+    bench = spark.createDataFrame([(1, text("a"))], "item_id long, text string")
+    clean = decontaminate.without_contaminated(left, bench)
+    assert sorted(map(tuple, clean.collect()), key=key) == sorted(want[1:], key=key)
