@@ -52,16 +52,27 @@ def _triples(words: list[str]) -> list[int]:
     return out
 
 
+def _places(pattern: str, group: int) -> Column:
+    """Every match of a pattern in `text` as (start, value), start from 0: the text between matches
+    and the matches themselves add up to the places. A group lies at the end of its match."""
+    between, whole = F.split("text", pattern), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    steps = F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda gap, m: F.struct(
+        F.length(gap).alias("gap"), F.length(m).alias("size")))
+    ends = F.aggregate(steps, F.array().cast("array<int>"), lambda done, x: F.array_append(
+        done, F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)) + x["gap"] + x["size"]))
+    return F.zip_with(ends, value, lambda end, v: F.struct((end - F.length(v)).alias("start"), v.alias("value")))
+
+
 def candidates(documents: DataFrame) -> DataFrame:
-    """(doc, value, path, before, after, start): distinct candidate values of each document, with
-    the place and context of the first occurrence (start from 0)."""
-    found = F.array_distinct(F.array_union(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)),
-                                           F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(1))))
+    """(doc, value, path, before, after, start): every occurrence of a candidate value in each
+    document, with its place (from 0) and context."""
+    runs = _places(RUN, 0)
+    found = F.concat(runs, F.array_except(_places(ASSIGNED, 1), runs))
     rows = documents.where("text is not null").select(
         doc_key().alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), "text",
-        F.explode(found).alias("value"))
-    at = F.instr("text", F.col("value"))
-    return rows.withColumn("start", at - 1).select(
+        F.explode(found).alias("at")).select("doc", "path", "text", "at.start", "at.value")
+    return rows.select(
         "doc", "value", "path", "start",
         F.substring("text", F.greatest(F.col("start") - CONTEXT + 1, F.lit(1)),
                     F.least(F.col("start"), F.lit(CONTEXT))).alias("before"),
@@ -116,7 +127,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificati
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """(doc, value, start, score, secret): every candidate with the forest's probability.
+    """(doc, value, start, score, secret): every occurrence of a candidate with the forest's probability.
 
     Labelled findings are those of documents whose crc32(doc_id as text) mod 3 is not 1 and that
     `weak_label` can tell. Without both classes nothing is removed: every candidate scores 1.
@@ -136,16 +147,21 @@ def scan(documents: DataFrame) -> DataFrame:
 
 
 def secret_findings(documents: DataFrame) -> DataFrame:
-    """(doc_id, value_sha256, start, length, score, secret): one row per document and candidate
-    value, at its first occurrence.
+    """(doc_id, value_sha256, start, length, score, secret): one row per document and occurrence of
+    a candidate value, with the score of that occurrence; a value is secret in all of a document if
+    any of its occurrences is.
 
     Null and empty texts hold no candidate; a null source is the empty path; null ids count as one
-    id. A value found in repeated rows of a document is one finding. Other columns are ignored.
+    id. An occurrence at the same place in repeated rows of a document is one finding. Other
+    columns are ignored.
     """
-    return scan(documents).groupBy("doc", "value").agg(
-        F.min("start").cast("long").alias("start"), F.max("score").alias("score"), F.max("secret").alias("secret")).select(
-        from_key("doc").alias("doc_id"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "start",
-        F.length("value").cast("long").alias("length"), "score", "secret")
+    found = scan(documents).groupBy("doc", "value", "start").agg(F.max("score").alias("score"), F.max("secret").alias("secret"))
+    found = found.groupBy("doc", "value").agg(
+        F.max("secret").alias("secret"), F.collect_list(F.struct("start", "score")).alias("places")).select(
+        "doc", "value", "secret", F.inline("places"))
+    return found.select(
+        from_key("doc").alias("doc_id"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
+        F.col("start").cast("long").alias("start"), F.length("value").cast("long").alias("length"), "score", "secret")
 
 
 def redacted(documents: DataFrame, mask: str = MASK) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cases in which the corpus operators once did less than their whole job."""
 
 import collections
+import hashlib
 import itertools
 import math
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from labelgrove.llm import class_lm, decontaminate
+from labelgrove.llm import class_lm, decontaminate, secrets
 from oracle import DATA
 
 
@@ -103,3 +104,17 @@ def test_pipeline_stages_judge_rows_not_ids(spark):
     bench = spark.createDataFrame([(1, text("a"))], "item_id long, text string")
     clean = decontaminate.without_contaminated(left, bench)
     assert sorted(map(tuple, clean.collect()), key=key) == sorted(want[1:], key=key)
+
+
+def test_every_occurrence_of_a_value_is_described(spark):
+    """First inside another run, then in plain text, then as a password; places count characters."""
+    value = "45bb0d53635bf1b89d"
+    text = f"\U0001f600 xx{value}yy then {value} and password={value}"
+    rows = secrets.candidates(spark.createDataFrame([(1, text, "src")], "doc_id long, text string, source string")).collect()
+    assert all(text[r.start:r.start + len(r.value)] == r.value and text[:r.start].endswith(r.before) for r in rows)
+    assert sorted(r.start for r in rows if r.value == value) == [text.index(value, 20), text.rindex(value)]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source")
+    got = secrets.secret_findings(docs.unionByName(spark.createDataFrame([(-1, text, "src")], docs.schema))).where("doc_id = -1")
+    want = hashlib.sha256(value.encode()).hexdigest()
+    assert {(r.start, r.secret) for r in got.collect() if r.value_sha256 == want} == {
+        (text.index(value, 20), True), (text.rindex(value), True)}
