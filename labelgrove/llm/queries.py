@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelgrove.llm.byte_repeats import remove_byte_repeats
 from labelgrove.llm.catalog import query
 from labelgrove.llm.class_lm import score
 from labelgrove.llm.common import table
 from labelgrove.llm.decontaminate import contamination
 from labelgrove.llm.language import identify
+from labelgrove.llm.lexical import search
 from labelgrove.llm.licences import licence_findings
+from labelgrove.llm.merkle import manifest
 from labelgrove.llm.near_dedup import near_duplicates
 from labelgrove.llm.pack import pack
 from labelgrove.llm.repeats import kept_hash, remove_repeats
@@ -162,3 +165,88 @@ def _secret_scans(spark, sf_dir):
 @query("op10_licence_scans")
 def _licence_scans(spark, sf_dir):
     return licence_findings(table(spark, sf_dir, "documents"))
+
+
+#: `doc_id` etc. as the manifest encodes them.
+ENCODED = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+LEAF = " || ".join(ENCODED.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: CRC-32 of a decimal id, a bit at a time.
+CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+FOLDED = LOWER.format("text").replace("coalesce(text, '')", "text")
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes and siblings of the trees over `leaves(t, i, n, h)`; i and n count the nodes of a level."""
+    return f"""
+{name} AS (SELECT t, 0 AS lv, CAST(i AS BIGINT) AS i, CAST(n AS BIGINT) AS n, h FROM {leaves}
+  UNION ALL SELECT t, lv + 1, i // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i))
+  FROM {name} WHERE n > 1 GROUP BY t, lv, i // 8),
+{name}_sib AS (SELECT a.t, a.lv, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r
+  FROM {name} a LEFT JOIN {name} b ON a.t = b.t AND a.lv = b.lv AND a.i // 8 = b.i // 8 AND a.i <> b.i WHERE a.n > 1 GROUP BY 1, 2, 3)"""
+
+
+def _climb_sql(name: str, start: str, tree: str) -> str:
+    """Every leaf of `start(doc_id, t, i, proof, node)` climbs to the root of its tree."""
+    return f"""
+{name} AS (SELECT doc_id, t, 0 AS lv, CAST(i AS BIGINT) AS i, proof, node FROM {start}
+  UNION ALL SELECT c.doc_id, c.t, c.lv + 1, c.i // 8, c.proof || s.l || s.r, sha256(s.l || c.node || s.r)
+  FROM {name} c JOIN {tree}_sib s ON c.t = s.t AND c.lv = s.lv AND c.i = s.i)"""
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS t, sha256({LEAF} || {ENCODED.format('text')}) AS leaf,
+    CASE WHEN {CRC} % 3 = 0 THEN sha256({LEAF} || {ENCODED.format('(' + FOLDED + ')')})
+      ELSE sha256({LEAF} || {ENCODED.format('text')}) END AS bad FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM d),
+low AS (SELECT t, i, n, leaf AS h FROM r), {_tree_sql('nodes', 'low')},
+tops AS (SELECT '' AS t, t AS name, h, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_tree_sql('forest', 'tops')},
+starts AS (SELECT doc_id, t, i, '' AS proof, bad AS node FROM r), {_climb_sql('climb', 'starts', 'nodes')},
+inner_end AS (SELECT doc_id, t, arg_max(proof, lv) AS proof, arg_max(node, lv) AS node FROM climb GROUP BY 1, 2),
+again AS (SELECT e.doc_id, '' AS t, tops.i, e.proof, e.node FROM inner_end e JOIN tops ON e.t = tops.name),
+{_climb_sql('climb_top', 'again', 'forest')},
+fin AS (SELECT doc_id, arg_max(proof, lv) AS proof, arg_max(node, lv) AS node FROM climb_top GROUP BY 1)
+SELECT r.doc_id, r.leaf, tops.h AS subroot, (SELECT h FROM forest WHERE n = 1) AS root, sha256(fin.proof) AS proof_sha256,
+  fin.node AS folded_root, fin.node = (SELECT h FROM forest WHERE n = 1) AS verified
+FROM r JOIN tops ON r.t = tops.name JOIN fin ON r.doc_id = fin.doc_id""")
+def _merkle_manifest(spark, sf_dir):
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_lexical_search", f"""
+WITH d AS (SELECT doc_id, {TERMS.format(LOWER.format('text'))} AS w FROM documents),
+size AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size),
+q AS (SELECT item_id, unnest(list_distinct({TERMS.format(LOWER.format('text'))})) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) x GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM df, total),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN wt USING (term) JOIN size USING (doc_id), total GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""")
+def _lexical_search(spark, sf_dir):
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_byte_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 399)) AS i, x FROM d WHERE len(x) >= 800),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM w) y),
+m AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM c WHERE n > 1),
+g AS (SELECT doc_id, i, count(*) FILTER (WHERE p IS NULL OR i > p + 400) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY 1, 2),
+k AS (SELECT s.doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+    string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM s) s JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""")
+def _byte_dedup(spark, sf_dir):
+    kept = remove_byte_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
