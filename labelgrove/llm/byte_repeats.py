@@ -4,7 +4,9 @@ Equal strings are brought together first. Each string of LENGTH bytes is represe
 SEED-byte grams; consecutive strings with the same one form a segment, and segments go to the task of
 their gram. Equal segments are merged where they arise, so copies cost one row per task; a segment
 that occurs twice is a repeat as a whole. Where different segments share a gram, their texts are
-fetched, and the repeats among them follow from their Burrows-Wheeler transform (`bwt`).
+fetched, and the repeats among them follow from their Burrows-Wheeler transform (`bwt`). Segments
+of a gram with more than CROWD spans in one task are such different ones for certain: they need
+not meet for that and are spread over all tasks.
 
 A group whose texts exceed GROUP_BYTES is cut by content: strings are told apart by how far their gram
 lies from their start, in steps of WIDTHS, and by the bytes that all strings of such a class share. With
@@ -35,9 +37,14 @@ SEGMENT, GROUP_BYTES, KERNEL_BYTES = 4096, 1 << 20, 1 << 20
 #: Bytes of one long text that are handled at a time, and segments that are merged at once.
 PIECE, GATHER = 1 << 20, 500_000
 
+#: Spans of one gram among the segments that a task merges at once, above which they are spread.
+CROWD = 32
+
 REPEAT, ALONE, KNOWN = 0, 1, 2
+#: How `_classify` takes a row: by its span, as a known repeat, as a member of a crowd.
+MEET, SPARE, MEMBER = 0, 1, 2
 _PLACE = ("doc", "copy")
-_ROW = "anchor long, span long, doc long, copy long, start long, windows int, twice boolean, several boolean, known boolean"
+_ROW = "anchor long, span long, doc long, copy long, start long, windows int, twice boolean, several boolean, role int, task long"
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
 _SEEN = "anchor long, doc long, copy long, start long, windows int, kind int"
 
@@ -88,9 +95,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int | None = None):
     return group, span, text, start - offsets[text], count.astype(np.int32), gram[head + count - 1] != seed
 
 
-def _merged(held: list[tuple]) -> pa.RecordBatch:
+def _merged(held: list[tuple], crowd: int) -> pa.RecordBatch:
     """Segments of a task with equal ones brought together: the first of them stands for all, the
-    others are known repeats and go anywhere."""
+    others are known repeats. These and the members of crowds go anywhere, but for one member that
+    tells the gram's task that there is something to compare."""
     group, span, doc, copy, start, count, twice, several = (np.concatenate(x) for x in zip(*held, strict=True))
     by = np.lexsort((span, group))
     group, span, doc, copy, start, count, twice, several = (x[by] for x in (group, span, doc, copy, start, count, twice, several))
@@ -98,31 +106,38 @@ def _merged(held: list[tuple]) -> pa.RecordBatch:
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(group)))
     twice = np.repeat(np.logical_or.reduceat(twice, head) | (size > 1), size)
-    group = np.where(new, group, mix(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)))
+    first = np.flatnonzero(_runs(group))
+    spans = np.repeat(np.add.reduceat(new.astype(np.int64), first), np.diff(np.append(first, len(group))))
+    crowded = spans > crowd
+    several = several | crowded
+    role = np.where(new, np.where(crowded & ~_runs(group), MEMBER, MEET), SPARE).astype(np.int32)
+    task = np.where(role == MEET, group, mix(span ^ doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)))
     return pa.record_batch([pa.array(x) for x in (
-        group.view(np.int64), span.view(np.int64), doc, copy, start, count, twice, several, ~new)], _NAMES)
+        group.view(np.int64), span.view(np.int64), doc, copy, start, count, twice, several, role, task.view(np.int64))], _NAMES)
 
 
-def _gathered(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+def _gathered(found: Iterator[tuple], crowd: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for part in found:
         held.append(part)
         size += len(part[0])
         if size >= GATHER:
-            yield _merged(held)
+            yield _merged(held, crowd)
             held, size = [], 0
     if size:
-        yield _merged(held)
+        yield _merged(held, crowd)
 
 
-def _text_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found():
-        for batch in batches:
-            doc, copy = (batch.column(i).to_numpy() for i in (0, 1))
-            for first, _, byte, data, offsets in pieces(batch.column(2)):
-                group, span, text, start, count, several = segments(data, offsets)
-                yield (group, span, doc[first + text], copy[first + text], start + byte, count, np.zeros(len(group), bool), several)
-    yield from _gathered(found())
+def _text_segments(crowd: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for batch in batches:
+                doc, copy = (batch.column(i).to_numpy() for i in (0, 1))
+                for first, _, byte, data, offsets in pieces(batch.column(2)):
+                    group, span, text, start, count, several = segments(data, offsets)
+                    yield (group, span, doc[first + text], copy[first + text], start + byte, count, np.zeros(len(group), bool), several)
+        yield from _gathered(found(), crowd)
+    return run
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +145,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
 
 
-def _finer_segments(width: int):
+def _finer_segments(width: int, crowd: int):
     """Segments of the strings of too large groups, told apart in steps of `width`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
@@ -138,7 +153,7 @@ def _finer_segments(width: int):
                 doc, copy, start, twice = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "copy", "start", "twice"))
                 group, span, text, at, count, several = segments(*_bytes(batch.column("string")), width)
                 yield group, span, doc[text], copy[text], start[text] + at, count, twice[text], several
-        yield from _gathered(found())
+        yield from _gathered(found(), crowd if width > 1 else np.inf)
     return run
 
 
@@ -184,11 +199,13 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, waiting, mixed_group = None, None, None
     for batch in batches:
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        known = rows[8]
-        if known.any():
-            yield out([c[known] for c in rows], REPEAT)
-        rows = [c[~known] for c in rows[:8]]
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:9]]
+        role, twice = rows[8], rows[6]
+        for kind, of in ((REPEAT, (role == SPARE) | (role == MEMBER) & twice), (KNOWN, (role == MEMBER) & twice),
+                         (ALONE, (role == MEMBER) & ~twice)):
+            if of.any():
+                yield out([c[of] for c in rows], kind)
+        rows = [c[role == MEET] for c in rows[:8]]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         if not len(rows[0]):
@@ -263,12 +280,12 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(doc_key().alias("doc"), F.xxhash64("text").alias("copy"), "text")
 
 
-def repeated_ranges(documents: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def repeated_ranges(documents: DataFrame, group_bytes: int = GROUP_BYTES, crowd: int = CROWD) -> DataFrame:
     """(doc, copy, start, bytes): runs of bytes whose strings of LENGTH bytes all occur elsewhere too."""
     texts = keyed(documents)
-    rows, found = texts.mapInArrow(_text_segments, _ROW), []
+    rows, found = texts.mapInArrow(_text_segments(crowd), _ROW), []
     for width in (*WIDTHS, None):
-        seen = stored(rows.repartition("anchor").sortWithinPartitions("anchor", "span").mapInArrow(_classify, _SEEN), "segments")
+        seen = stored(rows.repartition("task").sortWithinPartitions("anchor", "span").mapInArrow(_classify, _SEEN), "segments")
         length = (F.col("windows") - 1 + LENGTH).cast("long")
         found.append(seen.where(F.col("kind") == REPEAT).select(*_PLACE, "start", length.alias("bytes")))
         members = seen.where(F.col("kind") != REPEAT)
@@ -285,7 +302,7 @@ def repeated_ranges(documents: DataFrame, group_bytes: int = GROUP_BYTES) -> Dat
             _expanded, "doc long, copy long, start long, bytes long"))
         if last:
             break
-        rows = strings.where("large").drop("large").mapInArrow(_finer_segments(width), _ROW)
+        rows = strings.where("large").drop("large").mapInArrow(_finer_segments(width, crowd), _ROW)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -310,7 +327,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_byte_repeats(documents: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_byte_repeats(documents: DataFrame, group_bytes: int = GROUP_BYTES, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row; `kept` are the bytes that stay.
 
     Null and empty texts have no bytes; texts shorter than LENGTH lose nothing. Every row is a document
@@ -318,7 +335,7 @@ def remove_byte_repeats(documents: DataFrame, group_bytes: int = GROUP_BYTES) ->
     of each other. Other columns are ignored.
     """
     prepare(documents.sparkSession)
-    ranges = repeated_ranges(documents, group_bytes).groupBy(*_PLACE).agg(
+    ranges = repeated_ranges(documents, group_bytes, crowd).groupBy(*_PLACE).agg(
         F.collect_list(F.struct("start", "bytes")).alias("ranges"))
     return packed_rows(documents).join(ranges, list(_PLACE), "left").select("doc", "packed", "ranges").mapInArrow(
         _strip, "doc long, n_bytes long, n_removed long, n_spans long, kept binary").select(
