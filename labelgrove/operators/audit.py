@@ -104,6 +104,13 @@ def table_hash(df: DataFrame, *cols: str, by: list[str] | None = None) -> DataFr
                                        F.count(F.lit(1)).alias("n"))
 
 
+def multiset_hash(df: DataFrame, *cols: str) -> DataFrame:
+    """(hash, n) of any table: the sum of the rows' fingerprints, so neither the order of rows matters nor
+    do equal rows cancel each other. An empty table has hash 0."""
+    total = F.coalesce(F.sum(row_fingerprint(*cols).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+    return df.agg(total.cast("string").alias("hash"), F.count(F.lit(1)).alias("n"))
+
+
 def label_prior(train: DataFrame, nodes: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Laplace-smoothed positive rate of every node over observed training labels."""
     counts = train.groupBy("node").agg(F.count(F.lit(1)).alias("n"), positives().alias("k"))

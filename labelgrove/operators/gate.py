@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelgrove.operators.resample import POINT, paired_intervals, single_intervals
+
 EPS = 1e-9
 REL_TOL = 0.02
 ABS_TOL_CALIBRATION = 0.005
@@ -20,13 +22,13 @@ def lower_is_better(metric: Column) -> Column:
 
 
 def comparability(candidate: DataFrame, incumbent: DataFrame) -> DataFrame:
-    """(key, candidate, incumbent) of every setting that differs; the loader seed is ignored.
+    """(key, candidate, incumbent) of every setting that differs; the loader seed and provenance are ignored.
 
     Both sides are (key, value) tables of config, hashes and versions.
     """
     c = candidate.select("key", F.col("value").alias("candidate"))
     i = incumbent.select("key", F.col("value").alias("incumbent"))
-    return (c.join(i, "key", "full_outer").where(F.col("key") != "loader.seed")
+    return (c.join(i, "key", "full_outer").where(~F.col("key").isin("loader.seed", "config.loader.seed") & ~F.startswith("key", F.lit("provenance.")))
             .where(~F.col("candidate").eqNullSafe(F.col("incumbent"))))
 
 
@@ -158,3 +160,60 @@ def metric_pairs(candidate: DataFrame, incumbent: DataFrame) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def check_old_nodes(values: DataFrame, candidate: str, incumbent: str) -> DataFrame:
+    """`check_old` on the nodes of `values` (from `resample.node_values`)."""
+    macro = paired_intervals(_mean_ap(values), candidate, incumbent)
+    each = paired_intervals(values.select("run", "node", "r", F.col("ap").alias("value")), candidate, incumbent, ["node"])
+    return check_old(macro, each, values.where((F.col("run") == incumbent) & (F.col("r") == POINT)).select("node", "ap"))
+
+
+def check_new_nodes(values: DataFrame, candidate: str, incumbent: str, chance: str) -> DataFrame:
+    """`check_new` on the nodes of `values`, which also hold a run of constant scores."""
+    mean = _mean_ap(values)
+    return check_new(paired_intervals(mean, candidate, incumbent), paired_intervals(mean, candidate, chance))
+
+
+def _mean_ap(values: DataFrame) -> DataFrame:
+    return values.groupBy("run", "r").agg(F.avg("ap").alias("value")).withColumn("metric", F.lit("map_macro"))
+
+
+def arm_intervals(values: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row per arm: mean, least and largest mean AP over its seeds, and the interval of its first
+    seed. `values` from `resample.node_values`; `runs(run, arm, seed)`, a run without a seed comes first."""
+    mean = _mean_ap(values).join(runs, "run")
+    seed = F.coalesce("seed", F.lit(-1))
+    first = runs.groupBy("arm").agg(F.min_by("run", seed).alias("run"))
+    ci = single_intervals(mean.join(first, ["arm", "run"]), ["arm"]).select("arm", "lo", "hi", "n_valid")
+    return mean.where(F.col("r") == POINT).groupBy("arm").agg(
+        F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.count(F.lit(1)).alias("n_seeds")).join(ci, "arm")
+
+
+def arm_pairs(values: DataFrame, runs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """One row per pair of arms and seed: the difference of mean AP with its interval, seed by seed, or
+    every seed of the candidate against the first of an arm that shares none; pairs with an arm that
+    has no run come without values."""
+    mean = _mean_ap(values).join(runs, "run").withColumn("k", F.coalesce("seed", F.lit(-1)))
+    out = None
+    for candidate, incumbent in pairs:
+        c = mean.where(F.col("arm") == candidate).select("k", "r", F.col("value").alias("c"))
+        i = mean.where(F.col("arm") == incumbent).select(F.col("k").alias("ik"), F.col("r").alias("ir"), F.col("value").alias("i"))
+        seeds = c.select("k").distinct().join(i.select("ik").distinct(), F.col("k") == F.col("ik"))
+        shared = seeds.agg(F.count(F.lit(1))).scalar()
+        least = i.agg(F.min("ik")).scalar()
+        both = c.withColumn("to", F.when(shared > 0, F.col("k")).otherwise(least)).join(
+            i, (F.col("to") == F.col("ik")) & (F.col("r") == F.col("ir")))
+        d = F.col("c") - F.col("i")
+        drawn = F.when(F.col("r") != POINT, d)
+        rows = both.groupBy("k", "ik").agg(
+            F.max(F.when(F.col("r") == POINT, d)).alias("delta"), F.percentile(drawn, F.lit(0.025)).alias("lo"),
+            F.percentile(drawn, F.lit(0.975)).alias("hi"), F.count(drawn).alias("n_valid"))
+        name = values.sparkSession.createDataFrame([(candidate, incumbent)], "candidate string, incumbent string")
+        rows = rows.withColumns({"candidate": F.lit(candidate), "incumbent": F.lit(incumbent)})
+        rows = name.join(rows, ["candidate", "incumbent"], "left").select(
+            "candidate", "incumbent", F.col("k").alias("seed"), F.col("ik").alias("incumbent_seed"), "delta", "lo", "hi", "n_valid",
+            ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_0"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from labelgrove.operators import metrics as M
 from labelgrove.operators import taxonomy as T
+from labelgrove.operators.audit import label_prior, multiset_hash
 from labelgrove.session import cut_lineage
 
 CONFIDENT = 0.6
@@ -132,3 +133,31 @@ def summary(labels: DataFrame, scores: DataFrame, leaves: DataFrame,
                                     for c in wide.columns])).alias("p")
         out = out.unionByName(wide.select(pairs).select("p.metric", "p.value"))
     return out
+
+
+def prior_reference(labels: DataFrame, train: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(metric, value): calibration of the label prior on the items of a run, the floor that its own ECE
+    and Brier are read against. `train(node, y)` gives the prior of every node."""
+    obs = labels.select("node", "y").join(label_prior(train, nodes).select("node", F.col("prior").alias("score")), "node")
+    bins = calibration_table(M.tie_groups(obs, ["node"]))
+    pooled = M.ece_from_bins(bins.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("n", "sum_score", "n_positive")]))
+    each = M.ece_from_bins(bins, ["node"]).agg(F.avg("ece").alias("value"))
+    brier = bins.agg((F.sum("sum_sq") / F.sum("n")).alias("value"))
+    return (pooled.select(F.lit("prior_ece").alias("metric"), F.col("ece").alias("value"))
+            .unionByName(each.select(F.lit("prior_ece_classwise").alias("metric"), "value"))
+            .unionByName(brier.select(F.lit("prior_brier").alias("metric"), "value")))
+
+
+def run_config(labels: DataFrame, predictions: DataFrame, nodes: DataFrame, settings: dict[str, object]) -> DataFrame:
+    """(key, value) of what must match for two runs to be comparable: the settings, and hashes of the
+    evaluated labels and nodes and of the taxonomy. The hash of the predictions is provenance."""
+    spark = labels.sparkSession
+    kept = labels.join(predictions.select("item").distinct(), "item", "left_semi")
+    tables = {"labels": (kept, ["item", "node", "y"]), "evaluated_nodes": (align(kept, predictions).select("node").distinct(), ["node"]),
+              "taxonomy": (nodes, ["node"]), "provenance.predictions": (predictions, ["item", "node", "score"])}
+    rows = spark.createDataFrame([(f"config.{k}", str(v)) for k, v in sorted(settings.items())], "key string, value string")
+    for name, (table, cols) in tables.items():
+        rows = rows.unionByName(multiset_hash(table, *cols).select(
+            F.lit(f"{name}.hash").alias("key"), F.concat_ws("/", "hash", F.col("n").cast("string")).alias("value")))
+    items = kept.select("item").distinct().agg(F.count(F.lit(1)).cast("string").alias("value"))
+    return rows.unionByName(items.select(F.lit("items.n_evaluated").alias("key"), "value"))

@@ -53,17 +53,32 @@ def read_written_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("item string, node string, score double").parquet(f"{path}/scores")
 
 
-def archive_run(obs: DataFrame, metrics: DataFrame, root: str, stamp: str, name: str) -> str:
-    """Store a run under `<stamp>_<name>`; never overwrites."""
+def archive_run(obs: DataFrame, metrics: DataFrame, root: str, stamp: str, name: str,
+                config: DataFrame | None = None) -> str:
+    """Store a run under `<stamp>_<name>`; never overwrites. `config(key, value)` holds the settings,
+    versions and hashes that two runs must share to be compared."""
     import re
     if not re.match(SAFE_NAME, name):
         raise ValueError(f"unsafe run name {name!r}")
     folder = f"{root}/run={stamp}_{name}"
     obs.write.mode("errorifexists").parquet(f"{folder}/obs")
     metrics.write.mode("errorifexists").parquet(f"{folder}/metrics")
+    if config is not None:
+        config.select("key", "value").write.mode("errorifexists").parquet(f"{folder}/config")
     return folder
 
 
+def read_run_config(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("key string, value string").parquet(f"{folder}/config")
+
+
+def archived_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(name, folder) of the newest archived run of every name."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema(
+        "metric string").parquet(f"{root}/*/metrics")
+    return latest_runs(rows.select(F.regexp_extract("_metadata.file_path", "run=([^/]+)/", 1).alias("folder")).distinct())
+
+
 def read_run_metrics(spark: SparkSession, root: str, newest_only: bool = True) -> DataFrame:
     """Metrics of the archived runs with their folder name; by default the newest per run name."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema(
