@@ -195,25 +195,21 @@ def arm_pairs(values: DataFrame, runs: DataFrame, pairs: list[tuple[str, str]])
     """One row per pair of arms and seed: the difference of mean AP with its interval, seed by seed, or
     every seed of the candidate against the first of an arm that shares none; pairs with an arm that
     has no run come without values."""
-    mean = _mean_ap(values).join(runs, "run").withColumn("k", F.coalesce("seed", F.lit(-1)))
-    out = None
-    for candidate, incumbent in pairs:
-        c = mean.where(F.col("arm") == candidate).select("k", "r", F.col("value").alias("c"))
-        i = mean.where(F.col("arm") == incumbent).select(F.col("k").alias("ik"), F.col("r").alias("ir"), F.col("value").alias("i"))
-        seeds = c.select("k").distinct().join(i.select("ik").distinct(), F.col("k") == F.col("ik"))
-        shared = seeds.agg(F.count(F.lit(1))).scalar()
-        least = i.agg(F.min("ik")).scalar()
-        both = c.withColumn("to", F.when(shared > 0, F.col("k")).otherwise(least)).join(
-            i, (F.col("to") == F.col("ik")) & (F.col("r") == F.col("ir")))
-        d = F.col("c") - F.col("i")
-        drawn = F.when(F.col("r") != POINT, d)
-        rows = both.groupBy("k", "ik").agg(
-            F.max(F.when(F.col("r") == POINT, d)).alias("delta"), F.percentile(drawn, F.lit(0.025)).alias("lo"),
-            F.percentile(drawn, F.lit(0.975)).alias("hi"), F.count(drawn).alias("n_valid"))
-        name = values.sparkSession.createDataFrame([(candidate, incumbent)], "candidate string, incumbent string")
-        rows = rows.withColumns({"candidate": F.lit(candidate), "incumbent": F.lit(incumbent)})
-        rows = name.join(rows, ["candidate", "incumbent"], "left").select(
-            "candidate", "incumbent", F.col("k").alias("seed"), F.col("ik").alias("incumbent_seed"), "delta", "lo", "hi", "n_valid",
-            ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_0"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    mean = _mean_ap(values).join(runs, "run").withColumn("k", F.coalesce("seed", F.lit(-1))).select("arm", "k", "r", "value")
+    pair, keys = ["candidate", "incumbent"], values.sparkSession.createDataFrame(pairs, "candidate string, incumbent string")
+    c = keys.join(mean.withColumnsRenamed({"arm": "candidate", "value": "c"}), "candidate")
+    i = keys.join(mean.withColumnsRenamed({"arm": "incumbent", "value": "i", "k": "ik"}), "incumbent")
+    seeds = i.select(*pair, "ik").distinct()
+    shared = c.select(*pair, "k").distinct().join(seeds.withColumnRenamed("ik", "k"), [*pair, "k"]).select(
+        *pair, F.lit(True).alias("shared")).distinct()
+    least = seeds.groupBy(*pair).agg(F.min("ik").alias("least"))
+    to = F.when(F.col("shared"), F.col("k")).otherwise(F.col("least"))
+    both = c.join(shared, pair, "left").join(least, pair).withColumn("ik", to).join(i, [*pair, "ik", "r"])
+    d, point = F.col("c") - F.col("i"), F.col("r") == POINT
+    drawn = F.when(~point, d)
+    rows = both.groupBy(*pair, "k", "ik").agg(
+        F.max(F.when(point, d)).alias("delta"), F.percentile(drawn, F.lit(0.025)).alias("lo"),
+        F.percentile(drawn, F.lit(0.975)).alias("hi"), F.count(drawn).alias("n_valid"))
+    return keys.join(rows, pair, "left").select(
+        *pair, F.col("k").alias("seed"), F.col("ik").alias("incumbent_seed"), "delta", "lo", "hi", "n_valid",
+        ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_0"))
