@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelgrove.operators.scan import row_numbers, running_totals, time_chunk
+from labelgrove.operators.ranges import ranked, running_sums
+from labelgrove.operators.scan import time_chunk
 
 UNLIMITED = -1
 
@@ -145,8 +146,8 @@ def admission(changes: DataFrame, concurrency: int = UNLIMITED, queued: int = UN
 
     `changes(ts, step, job_id, user_id)` with step 0 = finish, 1 = start, 2 = submit orders equal
     times. A new job already counts as queued. Counts are global unless `per_user`. Running and
-    queued counts are running sums, cut by day so that one key does not become one task. The
-    quota counts admitted jobs only, so it admits the first `daily` submits per user and day that
+    queued counts are running sums over ranges of the changes, so neither a user nor a busy day becomes
+    one task. The quota counts admitted jobs only, so it admits the first `daily` submits per user and day that
     passed the other limits.
     """
     step = F.col("step")
@@ -156,8 +157,7 @@ def admission(changes: DataFrame, concurrency: int = UNLIMITED, queued: int = UN
         "d_queued": F.when(step == 2, 1).when(step == 1, -1).otherwise(0).cast("long")})
     order = [F.col("ts"), step, F.col("job_id")]
     keys = ["user_id"] if per_user else []
-    counts = running_totals(rows, keys, "day", order,
-                            {"d_running": "running", "d_queued": "queued"}).where("step = 2")
+    counts = running_sums(rows, keys, order, {"d_running": "running", "d_queued": "queued"}).where("step = 2")
     code = F.lit(None).cast("string")
     wait = F.lit(None).cast("int")
     rules = ((concurrency, F.col("running"), "concurrency", 120),
@@ -171,10 +171,8 @@ def admission(changes: DataFrame, concurrency: int = UNLIMITED, queued: int = UN
                            code.alias("code"), wait.alias("retry_s"))
     if daily == UNLIMITED:
         return judged.drop("day")
-    passed = row_numbers(
-        judged.where("code is null").withColumn("hour", time_chunk("ts", 3600)),
-        ["user_id", "day"], "hour", [F.col("ts"), F.col("job_id")], "turn").drop("hour")
-    over = F.col("turn") > daily
+    passed = ranked(judged.where("code is null"), ["user_id", "day"], ["ts", "job_id"], "turn")
+    over = F.col("turn") >= daily
     quota = passed.withColumns({"code": F.when(over, "quota_daily"), "retry_s": F.when(over, 3600)})
     blocked = judged.where("code is not null").withColumn("turn", F.lit(None).cast("long"))
     return quota.unionByName(blocked).drop("turn", "day")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelgrove.operators.scan import running_totals, score_chunk
+from labelgrove.operators.ranges import running_sums
 
 UNOBSERVED = "unobserved"
 NO_POSITIVES = "no_positives"
@@ -60,14 +60,12 @@ def tie_groups(obs: DataFrame, keys: list[str]) -> DataFrame:
     weight = F.col("w") if "w" in obs.columns else F.lit(1).cast("long")
     return (obs.groupBy(*keys, "score")
             .agg(F.sum(weight).alias("n"),
-                 F.sum(F.when(F.col("y"), weight).otherwise(F.lit(0))).alias("tp"))
-            .withColumn("chunk", score_chunk("score")))
+                 F.sum(F.when(F.col("y"), weight).otherwise(F.lit(0))).alias("tp")))
 
 
 def precision_curve(ties: DataFrame, keys: list[str]) -> DataFrame:
     """Cumulative counts down the ranking, ties taken together (last row of each tie)."""
-    return running_totals(ties, keys, "chunk", [F.col("score").desc()],
-                          {"n": "cum_n", "tp": "cum_tp"}, descending=True)
+    return running_sums(ties, keys, [F.col("score").desc()], {"n": "cum_n", "tp": "cum_tp"})
 
 
 def average_precision(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -117,7 +115,7 @@ def micro_average_precision(obs: DataFrame) -> DataFrame:
 
 def micro_from_ties(ties: DataFrame) -> DataFrame:
     """`micro_average_precision` from distinct scores of any classes."""
-    pool = ap_from_ties(ties.groupBy("score", "chunk").agg(F.sum("n").alias("n"),
+    pool = ap_from_ties(ties.groupBy("score").agg(F.sum("n").alias("n"),
                                                            F.sum("tp").alias("tp")), [])
     all_positive = (F.col("n_positive") == F.col("n_observed")) & (F.col("n_observed") > 0)
     return pool.select("n_observed", "n_positive",

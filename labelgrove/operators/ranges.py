@@ -7,7 +7,7 @@ partition then needs only what all earlier partitions sum to: a table of one row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -31,7 +31,7 @@ def _named(order: list[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _with_offsets(placed: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+def with_parts(placed: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
     """`placed` with the columns that `parts` has for its key and partition (null keys match)."""
     names = [c for c in parts.columns if c not in (*keys, "__part")]
     right = parts.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k_{k}") for k in keys], *names)
@@ -55,20 +55,40 @@ def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str
     before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*keys, "__part", (F.col("__first") - F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__base"),
                          *([F.sum("__n").over(whole).alias(size)] if size else []))
-    out = _with_offsets(placed, parts, keys).withColumn(name, F.col("__id") - F.col("__base"))
+    out = with_parts(placed, parts, keys).withColumn(name, F.col("__id") - F.col("__base"))
     return out.drop("__id", "__part", "__base")
 
 
-def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+def key_changes(rows: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
     """True where a row's key differs from the row before, and at the first row."""
-    new = np.zeros(batch.num_rows, bool)
-    new[0] = True
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
     for k in keys:
-        codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        column = rows.column(k)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
         new[1:] |= codes[1:] != codes[:-1]
     return new
 
 
+def local_ranges(df: DataFrame, keys: list[str], order: list[str | Column], kernel: Callable[[pa.Table, int], pa.Table],
+                 schema: StructType, name: str) -> DataFrame:
+    """`kernel(rows, number)` of every sorted range of `df`, written once; ranges are cut by the data and
+    hold about RANGE_ROWS rows, those of one task."""
+    by = [*[F.col(k) for k in keys], *_named(order)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held) if (held := list(batches)) else None
+        if rows is not None and rows.num_rows:
+            yield from kernel(rows, TaskContext.get().partitionId()).to_batches()
+    ranges = max(1, -(-df.count() // RANGE_ROWS))
+    return _written(df.repartitionByRange(ranges, *by).sortWithinPartitions(*by).mapInArrow(run, schema), name)
+
+
+#: Rows of a range that a task holds at once.
+RANGE_ROWS = 1_000_000
+
+
 def _local_sums(keys: list[str], totals: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -76,7 +96,7 @@ def _local_sums(keys: list[str], totals: dict[str, str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = _changes(batch, keys)
+            new = key_changes(batch, keys)
             first = tuple(batch.column(k)[0].as_py() for k in keys)
             heads = np.flatnonzero(new)
             sums = []
@@ -112,5 +132,5 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str | Column], tota
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*keys, "__part", *[
         F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__b_{o}") for o in totals.values()])
-    joined = _with_offsets(placed, parts, keys)
+    joined = with_parts(placed, parts, keys)
     return joined.select(*df.columns, *[(F.col(f"__b_{o}") + F.col(o)).alias(o) for o in totals.values()])

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from labelgrove.operators.scan import carry_last, exact_percentile, next_value
+from labelgrove.operators.ranges import key_changes, local_ranges, with_parts
+from labelgrove.operators.scan import exact_percentile
 from labelgrove.operators.taxonomy import ancestors_of, family_of, level_of, parent_of
 
 SHOW = 0.30
 CONFIDENT = 0.60
 EXIT_SHARE = 0.7
 DESCEND_MARGIN = 0.2
-FRAMES_PER_CHUNK = 4096
 # Which labels a separated stem may vouch for, and which of them the mix must show too.
 STEM_ROLES = (("vocals", "voice"), ("drums", "drums"), ("drums", "cymbals"), ("bass", "bass"))
 STEM_NEEDS_MIX = ("voice",)
@@ -33,24 +36,64 @@ def hysteresis_intervals(frames: DataFrame, keys: list[str], enter: float, exit_
                          hop_s: float = 1.0) -> DataFrame:
     """(keys, start_s, end_s): open at p >= enter, close at p < exit, open tails end at n * hop.
 
-    A frame either decides the state or keeps it, so a change is a deciding frame that differs
-    from the last deciding frame before it. Series are cut into blocks of frames and only the
-    block ends are scanned across the series.
+    A frame either decides the state or keeps it. An interval opens at the first deciding frame of 1
+    after one of 0, and ends at the next deciding frame of 0 wherever that is, so a range of frames only
+    needs the last decision before it and the first 0 after it. Null scores decide nothing.
     """
     if exit_ > enter:
         raise ValueError("exit threshold above the enter threshold")
     mark = F.when(F.col("p") >= enter, 1).when(F.col("p") < exit_, 0)
-    f = frames.select(*keys, "frame", mark.alias("mark"),
-                      F.floor(F.col("frame") / FRAMES_PER_CHUNK).alias("chunk"))
-    size = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("n"))
-    known = carry_last(f, keys, "chunk", [F.col("frame")], {"mark": "before"}, inclusive=False)
-    changes = known.where(F.col("mark").isNotNull()
-                          & (F.col("mark") != F.coalesce("before", F.lit(0))))
-    ends = next_value(changes.select(*keys, "chunk", "frame", "mark"), keys, "chunk", ["frame"],
-                      {"frame": "end_frame"})
-    opened = ends.where("mark = 1").join(size, keys)
-    return opened.select(*keys, F.bround(F.col("frame") * hop_s, 2).alias("start_s"),
-                         F.bround(F.coalesce("end_frame", "n") * hop_s, 2).alias("end_s"))
+    f = frames.select(*keys, F.col("frame").cast("long").alias("frame"), mark.alias("mark"))
+    opened = StructType([*[f.schema[k] for k in keys], *[StructField(c, LongType()) for c in _OPENED]])
+    found = local_ranges(f, keys, ["frame"], _openings(keys), opened, "openings")
+    parts = found.where("opens is null")
+    whole = Window.partitionBy(*keys)
+    later = whole.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
+    earlier = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "__part", F.last("last_mark", ignorenulls=True).over(earlier).alias("before"),
+                         F.first("first_0", ignorenulls=True).over(later).alias("after"),
+                         (F.max("last_frame").over(whole) + 1).alias("n"))
+    each = with_parts(found.where("opens is not null").drop("last_mark", "first_0", "last_frame"), parts, keys)
+    fresh = (F.col("first") == 0) | (F.coalesce("before", F.lit(0)) == 0)
+    return each.where(fresh).select(*keys, F.bround(F.col("opens") * hop_s, 2).alias("start_s"),
+                                    F.bround(F.coalesce("ends", "after", "n") * hop_s, 2).alias("end_s"))
+
+
+_OPENED = ("opens", "ends", "first", "last_mark", "first_0", "last_frame", "__part")
+
+
+def _openings(keys: list[str]):
+    """Of each series in a range: where it opens, the next 0, and whether that is its first decision; and
+    one row with the last decision, the first 0 and the last frame."""
+    def run(rows: pa.Table, part: int) -> pa.Table:
+        head = np.flatnonzero(key_changes(rows, keys))
+        tail = np.append(head[1:], rows.num_rows)
+        frame = rows.column("frame").to_numpy()
+        mark = rows.column("mark").to_pandas().fillna(-1).to_numpy(int)
+        series = np.repeat(np.arange(len(head)), tail - head)
+        at = np.flatnonzero(mark >= 0)
+        first = np.ones(len(at), bool)
+        first[1:] = series[at[1:]] != series[at[:-1]]
+        opens = first | np.append(True, mark[at[1:]] != mark[at[:-1]])[:len(at)]
+        opens &= mark[at] == 1
+        zeros = np.flatnonzero(mark == 0)
+
+        def next_zero(places):
+            nth = np.searchsorted(zeros, places)
+            place = np.append(zeros, rows.num_rows)[nth]
+            own = np.append(series, -1)
+            return [int(frame[p]) if own[p] == own[q] else None for p, q in zip(place, places, strict=True)]
+        o = at[opens]
+        last = np.searchsorted(at, tail) - 1
+        decided = [int(mark[at[i]]) if i >= 0 and at[i] >= a else None for i, a in zip(last, head, strict=True)]
+        n, m = len(o), len(head)
+        columns = {"opens": [*frame[o].tolist(), *[None] * m], "ends": [*next_zero(o), *[None] * m],
+                   "first": [*first[opens].astype(int).tolist(), *[None] * m], "last_mark": [*[None] * n, *decided],
+                   "first_0": [*[None] * n, *next_zero(head)], "last_frame": [*[None] * n, *frame[tail - 1].tolist()],
+                   "__part": [part] * (n + m)}
+        taken = rows.select(keys).take(pa.array(np.concatenate([o, head])))
+        return pa.table([*taken.columns, *[pa.array(columns[c], pa.int64()) for c in _OPENED]], names=[*keys, *_OPENED])
+    return run
 
 
 def shown(rows: DataFrame, show: float = SHOW) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelgrove.functions.hashing import crc_uniform, hash_hex, hash_uniform, pick_split
-from labelgrove.operators.scan import row_numbers, running_totals
+from labelgrove.operators.ranges import ranked
+from labelgrove.operators.scan import running_totals
 
 
 def check_fractions(fractions: dict[str, float]) -> None:
@@ -111,23 +112,23 @@ def pin_required(carriers: DataFrame) -> DataFrame:
             .select("grp").distinct().withColumn("split", F.lit("test")))
 
 
-def round_robin(items: DataFrame, chunk: str, order: str, group: str = "grp") -> DataFrame:
-    """Adds (turn, group_rank): taking one item per group in turn, largest groups first.
+def round_robin(items: DataFrame, order: str, group: str = "grp") -> DataFrame:
+    """Adds (turn, group_rank), both from 1: taking one item per group in turn, largest groups first.
 
-    Sort by (turn, group_rank) to read the order. Positions inside a group are two-level, so a
-    very large group does not become one task.
+    Sort by (turn, group_rank) to read the order. Positions come from ranges of the rows, so neither a
+    very large group nor very many groups of one size become one task.
     """
-    numbered = row_numbers(items, [group], chunk, [F.col(order)], "turn")
+    numbered = ranked(items, [group], [order], "turn").withColumn("turn", F.col("turn") + 1)
     sizes = items.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    ranks = row_numbers(sizes.withColumn("size_chunk", -F.floor(F.log2("n"))), [], "size_chunk",
-                        [F.col("n").desc(), F.col(group)], "group_rank")
-    return numbered.join(ranks.select(group, "group_rank"), group)
+    ranks = ranked(sizes, [], [F.col("n").desc(), F.col(group)], "group_rank")
+    return numbered.join(ranks.select(group, (F.col("group_rank") + 1).alias("group_rank")), group)
 
 
 def nested_subset(items: DataFrame, n: int, seed: int = 0, key: str = "item") -> DataFrame:
-    """The n items with the smallest seeded hash: a smaller subset lies inside a larger one."""
-    return (items.withColumn("__h", hash_hex(seed, F.col(key)))
-            .orderBy("__h", key).limit(n).drop("__h"))
+    """The n items with the smallest seeded hash: a smaller subset lies inside a larger one. Items are
+    numbered over ranges of the hash, so a large sample is not gathered in one task."""
+    hashed = items.withColumn("__h", hash_hex(seed, F.col(key)))
+    return ranked(hashed, [], ["__h", key], "__rank").where(F.col("__rank") < n).drop("__h", "__rank")
 
 
 def capped_sample(items: DataFrame, cap: int, seed: int, family: str, key: str,

@@ -123,10 +123,8 @@ def required_node_pins(t):
     row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, group_rank
   FROM documents JOIN s ON s.grp = source""")
 def artist_round_robin(t):
-    items = t.read("documents").select(
-        F.col("doc_id").alias("item"), F.col("source").alias("grp"),
-        F.floor(F.col("doc_id") / 65536).alias("chunk"))
-    return P.round_robin(items, "chunk", "item").select("item", "grp", "turn", "group_rank")
+    items = t.read("documents").select(F.col("doc_id").alias("item"), F.col("source").alias("grp"))
+    return P.round_robin(items, "item").select("item", "grp", "turn", "group_rank")
 
 
 @query("nested_subset", """SELECT doc_id AS item, lang FROM documents

@@ -12,7 +12,7 @@ from labelgrove.operators import calibrate as CAL
 from labelgrove.operators import clips as C
 from labelgrove.operators import metrics as M
 from labelgrove.operators import report as R
-from labelgrove.operators import scan
+from labelgrove.operators import ranges, scan
 from labelgrove.operators import similarity as SIM
 from labelgrove.operators import splits as P
 from labelgrove.streaming import limiter as LIM
@@ -113,9 +113,11 @@ def loop_intervals(p, enter, exit_):
 
 
 def test_intervals_equal_plain_loop(spark, monkeypatch):
-    monkeypatch.setattr(R, "FRAMES_PER_CHUNK", 5)
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 40)
     rng = random.Random(7)
     series = {f"s{k}": [rng.random() for _ in range(rng.randrange(1, 60))] for k in range(30)}
+    series["long"] = [rng.choice((.1, .5, .5, .5, .5, .5, .5, .9)) for _ in range(600)]
+    series["flat"] = [.5] * 90 + [.9] + [.5] * 200
     df = spark.createDataFrame([(k, i, p) for k, ps in series.items() for i, p in enumerate(ps)],
                                "s string, frame long, p double")
     got = {}
