@@ -1,64 +1,10 @@
-"""Linear probes: one masked, class-weighted logistic regression per node on stored vectors."""
+"""Scores of stored linear heads on stored vectors (`linear_fit` fits them)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrove.operators.calibrate import class_weights
-from labelgrove.operators.metrics import average_precision
-
-
-def with_vector(features: DataFrame, col: str) -> DataFrame:
-    return features.withColumn("vec", array_to_vector(F.col(col).cast("array<double>")))
-
-
-def fit_node(train: DataFrame, node: str, reg: float):
-    """Pipeline model of one node over its observed rows: standardise, weighted logistic fit."""
-    rows = train.where(F.col("node") == node).withColumn("label", F.col("y").cast("double"))
-    scaler = StandardScaler(inputCol="vec", outputCol="std", withMean=True, withStd=True)
-    lr = LogisticRegression(featuresCol="std", labelCol="label", weightCol="w", regParam=reg,
-                            maxIter=30, probabilityCol="prob", rawPredictionCol="raw")
-    return Pipeline(stages=[scaler, lr]).fit(rows)
-
-
-def fit_probe(train: DataFrame, val: DataFrame, nodes: list[str],
-              regs: tuple[float, ...] = (0.01, 0.1)) -> dict[str, object]:
-    """Best model per node by validation AP. Frames have (item, vec, node, y)."""
-    weights = class_weights(train)
-    weighted = train.join(weights, "node").withColumn(
-        "w", F.when(F.col("y"), F.col("weight")).otherwise(1.0))
-    models = {}
-    for node in nodes:
-        best = (-1.0, None)
-        for reg in regs:
-            model = fit_node(weighted, node, reg)
-            ap = average_precision(score(model, val.where(F.col("node") == node), node))
-            value = ap.agg(F.max("ap")).first()[0]
-            if value is not None and value > best[0] or best[1] is None:
-                best = (value if value is not None else -1.0, model)
-        models[node] = best[1]
-    return models
-
-
-def score(model, rows: DataFrame, node: str) -> DataFrame:
-    """(item, node, y, score) of one node's model."""
-    out = model.transform(rows)
-    return out.select("item", F.lit(node).alias("node"), "y",
-                      vector_to_array("prob")[1].alias("score"))
-
-
-def score_all(models: dict[str, object], rows: DataFrame) -> DataFrame:
-    """Scores of every node; frames (item, vec, node, y) hold the observed pairs."""
-    parts = [score(m, rows.where(F.col("node") == n), n) for n, m in models.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
 
 def linear_scores(features: DataFrame, heads: DataFrame, vec: str = "vec") -> DataFrame:
     """(item, node, score) from stored heads(node, weights, bias): sigmoid of a dot product.

@@ -520,16 +520,3 @@ def linear_head_scores(t):
                          F.lit(-0.5).alias("bias"))
     feats = e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vec"))
     return PR.linear_scores(feats, heads).withColumn("score", F.round("score", 5))
-
-
-@query("linear_probe")
-def linear_probe(t):
-    """Two one-vs-rest probes on the embeddings, scored on held-out rows (model fit, rows only)."""
-    rows = PR.with_vector(t.read("embeddings").select(
-        F.col("vec_id").alias("item"), "embedding", "label"), "embedding")
-    obs = rows.select("item", "vec", F.explode(F.array(*[F.struct(
-        F.lit(f"c{k}").alias("node"), (F.col("label") == k).alias("y")) for k in (0, 1)])).alias("o")
-    ).select("item", "vec", "o.node", "o.y")
-    parts = {s: obs.where(F.col("item") % 5 == k) for s, k in (("val", 3), ("test", 4))}
-    models = PR.fit_probe(obs.where("item % 5 < 3"), parts["val"], ["c0", "c1"])
-    return M.average_precision(PR.score_all(models, parts["test"]))
