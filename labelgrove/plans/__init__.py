@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 QUERY_MODULES = ("metric_queries", "label_queries", "split_queries", "run_queries", "resample_queries", "fit_queries", "report_queries",
-                 "library_queries", "clip_queries", "source_queries",
+                 "library_queries", "stream_queries", "clip_queries", "source_queries",
                  "function_queries")
 
 
