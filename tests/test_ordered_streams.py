@@ -56,7 +56,7 @@ def test_admission_equals_batch(spark, tmp_path):
 
 
 def test_open_tails_close_and_state_is_empty(spark, tmp_path):
-    frames = [("x", float(i), i, p) for i, p in enumerate([.1, .9, .5, .1, .8, .7])] + [("y", float(i), i, .9) for i in range(3)]
+    frames = [("x", float(100 + i), i, p) for i, p in enumerate([.1, .9, .5, .1, .8, .7])] + [("y", float(100 + i), i, .9) for i in range(3)]
     batches = [frames[1:4], [frames[0], *frames[5:]], [frames[4]], [("", float(FAR), O.TICK, 0.0)]]
     got, state = drain(spark, tmp_path, batches, "series string, s double, frame long, p double",
                        lambda s: O.closing_intervals(s, .6, .4, idle_s=60, delay="30 seconds"))
