@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from labelgrove.functions.scores import binary_loss, logit, sigmoid
+from labelgrove.functions.scores import binary_loss, logit
 from labelgrove.operators.scan import exact_percentile
-from labelgrove.session import cut_lineage
 
 T_MIN, T_MAX = 0.05, 20.0
 GRID = 40
 A_BOUNDS = (1e-3, 50.0)
 B_BOUNDS = (-50.0, 50.0)
+#: Digits of stored scores, and the mean gradient at which a fit stops.
+DIGITS, GRADIENT = 6, 1e-12
 
 
 def score_counts(obs: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,43 +69,95 @@ def fit_temperatures(obs: DataFrame, keys: list[str], rounds: int = 2) -> DataFr
                        .alias("temperature"), (F.col("loss") / F.col("n")).alias("loss"))
 
 
-def fit_platt(obs: DataFrame, key: str = "node", iterations: int = 12) -> DataFrame:
-    """(key, a, b) of sigmoid(a logit(p) + b) for all classes at once by damped Newton steps.
+def exact_counts(obs: DataFrame, keys: list[str]) -> DataFrame:
+    """`score_counts` of scores with six digits, as predictions are stored: at most 1,000,001 rows per key."""
+    return score_counts(obs.withColumn("score", F.round("score", DIGITS)), keys)
 
-    Each step is one aggregate of gradient and Hessian sums over the distinct scores joined with
-    the class parameters; only the class-sized parameters are checkpointed between steps.
+
+def _loss(s: np.ndarray, n: np.ndarray, k: np.ndarray) -> float:
+    return float((n * (np.maximum(s, 0) + np.log1p(np.exp(-np.abs(s)))) - k * s).sum())
+
+
+def _sigmoid(s: np.ndarray) -> np.ndarray:
+    e = np.exp(-np.abs(s))
+    return np.where(s >= 0, 1 / (1 + e), e / (1 + e))
+
+
+def best_inverse_temperature(z: np.ndarray, n: np.ndarray, k: np.ndarray) -> float:
+    """Minimum of the convex loss over 1 / T, by Newton steps kept inside a shrinking bracket."""
+    low, high = 1 / T_MAX, 1 / T_MIN
+
+    def slope(x):
+        p = _sigmoid(x * z)
+        return (z * (n * p - k)).sum() / n.sum(), (z * z * n * p * (1 - p)).sum() / n.sum()
+    if slope(low)[0] >= 0:
+        return low
+    if slope(high)[0] <= 0:
+        return high
+    x = 1.0
+    for _ in range(200):
+        g, h = slope(x)
+        low, high = (x, high) if g < 0 else (low, x)
+        if abs(g) < GRADIENT or high - low < 1e-15:
+            break
+        step = x - g / h if h > 0 else low
+        x = step if low < step < high else (low + high) / 2
+    return x
+
+
+def exact_temperatures(obs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, temperature, loss, gradient): the best T in [0.05, 20] per key, to the stop of the gradient.
+
+    Keys without both classes keep 1. No keys fit one temperature for all.
+    """
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z, n, k = (pdf[c].to_numpy(float) for c in ("z", "n", "k"))
+        x = best_inverse_temperature(z, n, k) if 0 < k.sum() < n.sum() else 1.0
+        g = float((z * (n * _sigmoid(x * z) - k)).sum() / n.sum())
+        return pd.DataFrame([(*key, 1 / x, _loss(x * z, n, k) / n.sum(), g)], columns=[*keys, "temperature", "loss", "gradient"])
+    counts = exact_counts(obs, keys)
+    schema = StructType([*[counts.schema[k] for k in keys], *[StructField(c, DoubleType()) for c in ("temperature", "loss", "gradient")]])
+    return counts.groupBy(*keys).applyInPandas(fit, schema)
+
+
+def best_platt(z: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) within their bounds and the gradient there, by Newton steps on the parameters that no
+    bound holds, each halved until the loss falls."""
+    low, high = np.array([A_BOUNDS, B_BOUNDS]).T
+    x, inputs, total = np.array([1.0, 0.0]), np.column_stack([z, np.ones_like(z)]), n.sum()
+    for _ in range(200):
+        p = _sigmoid(inputs @ x)
+        g = inputs.T @ (n * p - k) / total
+        free = ~((x <= low) & (g > 0) | (x >= high) & (g < 0))
+        if not free.any() or np.abs(g[free]).max() < GRADIENT:
+            break
+        h = (inputs * (n * p * (1 - p))[:, None]).T @ inputs / total
+        d = np.zeros(2)
+        d[free] = -np.linalg.solve(h[np.ix_(free, free)] + 1e-14 * np.eye(free.sum()), g[free])
+        if not np.isfinite(d).all() or g @ d >= 0:
+            d = np.where(free, -g, 0)
+        here, size = _loss(inputs @ x, n, k), 1.0
+        while size > 1e-12 and _loss(inputs @ np.clip(x + size * d, low, high), n, k) > here:
+            size /= 2
+        if size <= 1e-12:
+            break
+        x = np.clip(x + size * d, low, high)
+    return x, np.where(free, g, 0.0)
+
+
+def fit_platt(obs: DataFrame, key: str = "node") -> DataFrame:
+    """(key, a, b) of sigmoid(a logit(p) + b) per class, optimal also where a or b ends at its bound.
+
+    A class is one call over its distinct scores, of which six digits leave at most a million.
     Identity for classes with one label value or one score.
     """
-    counts = cut_lineage(score_counts(obs, [key]))
-    shape = counts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("k").alias("k"),
-                                    F.count(F.lit(1)).alias("distinct_scores"))
-    fit = (F.col("k") > 0) & (F.col("k") < F.col("n")) & (F.col("distinct_scores") > 1)
-    params = cut_lineage(shape.select(key, fit.alias("fit"), F.lit(1.0).alias("a"),
-                                      F.lit(0.0).alias("b")))
-    for _ in range(iterations):
-        p = sigmoid(F.col("a") * F.col("z") + F.col("b"))
-        r = F.col("n") * p - F.col("k")
-        h = F.col("n") * p * (1 - p)
-        z = F.col("z")
-        sums = counts.join(params, key).groupBy(key).agg(
-            F.first("fit").alias("fit"), F.first("a").alias("a"), F.first("b").alias("b"),
-            F.sum(r * z).alias("ga"), F.sum(r).alias("gb"), F.sum(h * z * z).alias("haa"),
-            F.sum(h * z).alias("hab"), (F.sum(h) + 1e-9).alias("hbb"))
-        det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab") + 1e-12
-        da = (F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb")) / det
-        db = (F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga")) / det
-
-        def clipped(v, lo, hi):
-            return F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
-
-        step = sums.select(
-            key, "fit",
-            F.when(F.col("fit"), clipped(F.col("a") - clipped(da, -2.0, 2.0), *A_BOUNDS))
-            .otherwise(F.col("a")).alias("a"),
-            F.when(F.col("fit"), clipped(F.col("b") - clipped(db, -2.0, 2.0), *B_BOUNDS))
-            .otherwise(F.col("b")).alias("b"))
-        params = cut_lineage(step)
-    return params.select(key, "a", "b")
+    def fit(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z, n, k = (pdf[c].to_numpy(float) for c in ("z", "n", "k"))
+        (a, b), _ = best_platt(z, n, k) if 0 < k.sum() < n.sum() and np.ptp(z) > 0 else ((1.0, 0.0), None)
+        return pd.DataFrame([(*group, a, b)], columns=[key, "a", "b"])
+    counts = exact_counts(obs, [key])
+    schema = StructType([counts.schema[key], StructField("a", DoubleType()), StructField("b", DoubleType())])
+    return counts.groupBy(key).applyInPandas(fit, schema)
 
 
 def class_weights(obs: DataFrame) -> DataFrame:

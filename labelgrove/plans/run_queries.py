@@ -440,10 +440,31 @@ def temperature_fit(t):
         {c: r6(c) for c in ("temperature", "loss")})
 
 
-@query("temperature_fit_global")
+def temperature_sql(source: str, keys: str, rounds: int = 40) -> str:
+    """Newton steps of 1 / T from 1, each at most a factor of two, over distinct logits."""
+    key, by, on = (f"{keys}, ", f"GROUP BY {keys}", f"USING ({keys})") if keys else ("", "", "ON true")
+    out = f"""WITH z AS (SELECT {key}ln(p) - ln(1 - p) AS z, count(*) AS n, count(*) FILTER (WHERE y) AS k FROM (
+      SELECT *, least(greatest(round(score, 6), 1e-6), 1 - 1e-6) AS p FROM ({source}) s) q GROUP BY ALL),
+    x0 AS (SELECT {key}1.0::DOUBLE AS x FROM z {by or 'LIMIT 1'})"""
+    for i in range(rounds):
+        out += f""",
+    x{i + 1} AS (SELECT {key}least(greatest(x - g / h, x / 2, 0.05), 2 * x, 20) AS x FROM (SELECT {key}any_value(x) AS x,
+      sum(z * (n / (1 + exp(-x * z)) - k)) AS g, sum(z * z * n / (1 + exp(-x * z)) / (1 + exp(x * z))) AS h FROM z JOIN x{i} {on} {by}) s)"""
+    return out + f""" SELECT {key}round(1 / any_value(x), 6) AS temperature, round(sum(n * (greatest(x * z, 0)
+      + ln(1 + exp(-abs(x * z)))) - k * x * z) / sum(n), 6) AS loss FROM z JOIN x{rounds} {on} {by}"""
+
+
+@query("temperature_fit_global", temperature_sql(TREE_OBS, ""))
 def temperature_fit_global(t):
-    """Global temperature with a refined grid (iterative, rows only)."""
-    return C.fit_temperatures(t.tree_obs(), [], rounds=2)
+    """One temperature for all classes, to the stop of the gradient."""
+    return C.exact_temperatures(t.tree_obs(), []).select(r6("temperature").alias("temperature"), r6("loss").alias("loss"))
+
+
+@query("temperature_fit_exact", temperature_sql(f"SELECT *, {LEVEL} AS level FROM ({TREE_OBS}) o", "level"))
+def temperature_fit_exact(t):
+    """The best temperature of every level, to the stop of the gradient."""
+    fits = C.exact_temperatures(t.tree_obs().withColumn("level", T.level_of("node")), ["level"])
+    return fits.select("level", r6("temperature").alias("temperature"), r6("loss").alias("loss"))
 
 
 @query("temperature_apply", f"""SELECT node, count(*) AS n, round(avg(1 / (1 + exp(-z / t))), 6) AS mean_score
@@ -455,10 +476,25 @@ def temperature_apply(t):
         F.count(F.lit(1)).alias("n"), r6(F.avg("score")).alias("mean_score"))
 
 
-@query("platt_fit")
+def platt_sql(source: str, rounds: int = 30) -> str:
+    """Newton steps of (a, b) from the identity, each at most 1 in either, over distinct logits."""
+    out = f"""WITH z AS (SELECT node, ln(p) - ln(1 - p) AS z, count(*) AS n, count(*) FILTER (WHERE y) AS k FROM (
+      SELECT *, least(greatest(round(score, 6), 1e-6), 1 - 1e-6) AS p FROM ({source}) s) q GROUP BY ALL),
+    x0 AS (SELECT DISTINCT node, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM z)"""
+    for i in range(rounds):
+        out += f""",
+    x{i + 1} AS (SELECT node, a - least(greatest((hbb * ga - hab * gb) / d, -1), 1) AS a, b - least(greatest((haa * gb - hab * ga) / d, -1), 1) AS b
+      FROM (SELECT *, haa * hbb - hab * hab AS d FROM (SELECT node, any_value(a) AS a, any_value(b) AS b, sum(r * z) AS ga, sum(r) AS gb,
+        sum(h * z * z) AS haa, sum(h * z) AS hab, sum(h) AS hbb FROM (SELECT node, z, a, b, n / (1 + exp(-a * z - b)) - k AS r,
+          n / (1 + exp(-a * z - b)) / (1 + exp(a * z + b)) AS h FROM z JOIN x{i} USING (node)) u GROUP BY node) v) w)"""
+    return out + f" SELECT node, round(least(greatest(a, 1e-3), 50), 6) AS a, round(b, 6) AS b FROM x{rounds}"
+
+
+@query("platt_fit", platt_sql(f"SELECT item, node, y, (score + CAST(y AS INT) * 0.3 * (item % 5) / 4) / 1.3 AS score FROM ({FLAT_OBS}) o"))
 def platt_fit(t):
-    """Per-class Platt scaling by Newton steps (iterative, rows only)."""
-    return C.fit_platt(t.flat_obs())
+    """Platt scaling of every class, to the stop of the gradient; scores lean towards the labels."""
+    lean = (F.col("score") + F.col("y").cast("int") * 0.3 * (F.col("item") % 5) / 4) / 1.3
+    return C.fit_platt(t.flat_obs().withColumn("score", lean)).withColumns({c: r6(c) for c in ("a", "b")})
 
 
 @query("platt_apply", f"""SELECT item, node, round(CASE WHEN node = 'quality'

@@ -190,6 +190,30 @@ def test_platt_recovers_parameters(spark):
     assert fit["flat"] == (1.0, 0.0)
 
 
+def test_platt_is_optimal_inside_and_at_bounds():
+    rng = np.random.default_rng(8)
+    z = rng.normal(0, 3, 400)
+    for flip, noise in ((1, 2.0), (-1, 2.0), (1, 0.0), (1, 9.0)):
+        k = (flip * z + noise * rng.normal(size=400) > 1).astype(float)
+        (a, b), _ = CAL.best_platt(z, np.ones(400), k)
+        assert CAL.A_BOUNDS[0] <= a <= CAL.A_BOUNDS[1] and CAL.B_BOUNDS[0] <= b <= CAL.B_BOUNDS[1]
+        g = np.array([z, np.ones(400)]) @ (1 / (1 + np.exp(-np.clip(a * z + b, -700, 700))) - k) / 400
+        for value, slope, (low, high) in ((a, g[0], CAL.A_BOUNDS), (b, g[1], CAL.B_BOUNDS)):
+            assert abs(slope) < 1e-6 or value == low and slope > 0 or value == high and slope < 0
+    assert CAL.best_platt(z, np.ones(400), (z < 0).astype(float))[0][0] == CAL.A_BOUNDS[0]  # a falling map is not allowed
+
+
+def test_exact_temperatures(spark):
+    rng = np.random.default_rng(9)
+    z = rng.normal(0, 4, 3000)
+    y = rng.random(3000) < 1 / (1 + np.exp(-z / 2.0))
+    rows = [("fit", bool(b), float(1 / (1 + np.exp(-a)))) for a, b in zip(z, y)]
+    rows += [("sure", True, .9), ("sure", False, .1), ("wrong", True, .1), ("wrong", False, .9), ("one", True, .4)]
+    out = {r["level"]: r for r in CAL.exact_temperatures(spark.createDataFrame(rows, "level string, y boolean, score double"), ["level"]).collect()}
+    assert out["fit"]["temperature"] == pytest.approx(2.0, abs=.25) and abs(out["fit"]["gradient"]) < 1e-9
+    assert out["sure"]["temperature"] == pytest.approx(.05) and out["wrong"]["temperature"] == pytest.approx(20) and out["one"]["temperature"] == 1
+
+
 def test_temperature_recovers_parameter(spark):
     rng = np.random.default_rng(1)
     z = rng.normal(0, 4, 5000)
