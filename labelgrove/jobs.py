@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrove.operators import audit, bootstrap, calibrate, gate, resample, selection, splits, taxonomy
+from labelgrove.operators import audit, balanced, bootstrap, calibrate, gate, resample, selection, taxonomy
 from labelgrove.plans import evaluate
 from labelgrove.session import get_session
 from labelgrove.sources import runs, taxonomy_files
@@ -86,7 +86,7 @@ def job_coverage(spark, a) -> DataFrame:
 def job_make_split(spark, a) -> DataFrame:
     """Pin a group-disjoint split of items(item, grp)."""
     items = spark.read.parquet(a.input)
-    groups = splits.group_split(items, {"train": .7, "val": .1, "test": .2}, a.seed)
+    groups = balanced.greedy_split(items, {"train": .7, "val": .1, "test": .2}, a.seed)
     runs.write_split_pin(items.join(groups.select("grp", "split"), "grp"), a.output)
     return groups.groupBy("split").agg(F.sum("n").alias("n"))
 

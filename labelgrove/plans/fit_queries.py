@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelgrove.operators import cotrain as CT
 from labelgrove.operators import linear_fit as L
 from labelgrove.operators import metrics as M
 from labelgrove.plans.catalog import query
@@ -100,3 +101,25 @@ def shortcut_baseline(t):
     o = labels(t).withColumn("grp", (F.col("item") % 40).cast("string"))
     out = L.shortcut_baseline(vectors(t), nuisance(t), o.where("item % 5 < 3"), None, o.where("item % 5 = 4"), N_BOOT, SEED, **OPTIONS)
     return out.withColumns({c: F.round(c, 8) for c in ("ap_real", "ap_shortcut", "delta", "lo", "hi")})
+
+
+REAL = """SELECT l.doc_id AS item, u.node, u.flag = 1 AS y FROM labels l, LATERAL (SELECT unnest(['quality', 'toxic']) AS node,
+    unnest([quality, toxic]) AS flag) u WHERE l.doc_id IN (SELECT vec_id FROM embeddings)
+  AND l.doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'fr')"""
+
+
+@query("cotraining_rows", f"""WITH s AS (SELECT 'synthetic:' || item AS item, node, y FROM ({LABELS}) l WHERE item % 2 = 0),
+    r AS (SELECT 'real:' || item AS item, node, y FROM ({REAL}) q),
+    b AS (SELECT * FROM s UNION ALL SELECT * FROM r)
+  SELECT split_part(item, ':', 1) AS source, node, count(*) AS n, count(*) FILTER (WHERE y) AS n_positive,
+    CAST(count(DISTINCT item) * 64 AS BIGINT) AS cells FROM b GROUP BY 1, 2""")
+def cotraining_rows(t):
+    """Synthetic classes joined by real labels of documents that have a vector and a free licence."""
+    vecs, own = vectors(t), labels(t).where("item % 2 = 0")
+    real = t.read("labels").selectExpr("doc_id as item", "stack(2, 'quality', quality = 1, 'toxic', toxic = 1) as (node, y)")
+    licences = t.read("documents").select(F.col("doc_id").alias("item"), F.when(
+        F.col("lang") == "fr", "CC BY-Non-Commercial").otherwise("CC BY").alias("title"))
+    both, obs = CT.cotraining({"synthetic": (vecs, own), "real": (vecs, CT.usable(real, vecs, licences))})
+    cells = obs.join(both.select("item", F.size("vec").alias("d")), "item")
+    return cells.groupBy(F.split_part("item", F.lit(":"), F.lit(1)).alias("source"), "node").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("y").alias("n_positive"), F.sum("d").alias("cells"))

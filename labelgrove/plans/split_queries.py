@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from labelgrove.operators import audit as A
 from labelgrove.operators import selection as S
+from labelgrove.operators import balanced as BAL
 from labelgrove.operators import splits as P
 from labelgrove.plans.catalog import query
 from labelgrove.plans.standins import (FLAT_OBS, LEAF_OBS, LEVEL, TREE_NODES, TREE_OBS)
@@ -38,6 +39,27 @@ def group_disjoint_split(t):
     return P.group_split(orders(t), FRACTIONS, seed=7)
 
 
+GREEDY_STEPS = f"""WITH RECURSIVE s AS (SELECT o_custkey AS grp, count(*) AS n FROM orders GROUP BY 1),
+  o AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256('7:' || grp), grp) AS k FROM s),
+  g AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS split, {", ".join(f"sum(n) * {f} / {sum(FRACTIONS.values())} AS d_{s}" for s, f in FRACTIONS.items())} FROM s
+    UNION ALL SELECT k, split, {", ".join(f"d_{s} - CASE split WHEN '{s}' THEN n ELSE 0 END" for s in FRACTIONS)}
+    FROM (SELECT o.k, o.n, {", ".join(f"d_{s}" for s in FRACTIONS)}, CASE {" ".join(
+      f"WHEN {' AND '.join(f'd_{s} >= d_{u}' for u in FRACTIONS if u != s)} THEN '{s}'" for s in FRACTIONS)} END AS split
+      FROM g JOIN o ON o.k = g.k + 1) x)"""
+
+
+@query("greedy_group_split", f"{GREEDY_STEPS} SELECT grp, n, split FROM o JOIN g USING (k)")
+def greedy_group_split(t):
+    """The greedy rule, every group in the split that it would get one by one."""
+    return BAL.greedy_split(orders(t), FRACTIONS, seed=7)
+
+
+@query("improved_split")
+def improved_split(t):
+    """The greedy split with strata balanced by rounds of moves, one group pinned."""
+    return BAL.improved_split(group_sizes(t), strata(t), FRACTIONS, pins(t), 7, rounds=6)[0]
+
+
 TRAIN_ITEMS = f"""SELECT o_orderkey AS item, o_custkey AS grp,
     CASE WHEN o_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM orders"""
 

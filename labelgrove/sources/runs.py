@@ -141,12 +141,24 @@ def upload_files(spark: SparkSession, path: str) -> DataFrame:
         "path", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("bytes"))
 
 
+#: Folders that songs are dealt over; an append rewrites those of its songs alone.
+SONG_FOLDERS = 4096
+
+
 def save_report(reports: DataFrame, root: str) -> None:
-    """Append analyses(analysis_id, song_id, report) and rebuild the derived instrument index."""
+    """Append analyses(analysis_id, song_id, report) and renew the instrument rows of their songs.
+
+    Songs lie in SONG_FOLDERS folders by a hash of their id. Only the folders of the appended songs are
+    read again, and only theirs are replaced; at most SONG_FOLDERS numbers pass the driver.
+    """
     from labelgrove.operators.library import instrument_index
-    reports.write.mode("append").parquet(f"{root}/analyses")
-    stored = reports.sparkSession.read.schema(reports.schema).parquet(f"{root}/analyses")
-    instrument_index(stored).write.mode("overwrite").parquet(f"{root}/instruments")
+    spark, place = reports.sparkSession, F.pmod(F.xxhash64("song_id"), F.lit(SONG_FOLDERS)).cast("int")
+    dealt = reports.withColumn("folder", place)
+    folders = [r["folder"] for r in dealt.select("folder").distinct().collect()]
+    dealt.write.mode("append").partitionBy("folder").parquet(f"{root}/analyses")
+    stored = spark.read.schema(dealt.schema).parquet(f"{root}/analyses").where(F.col("folder").isin(folders))
+    instrument_index(stored).withColumn("folder", place).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(f"{root}/instruments")
 
 
 # Kinds of sources (fixed values); the reviewed licences are an input table.

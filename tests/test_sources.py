@@ -144,6 +144,12 @@ def test_vector_alignment_and_reports(spark, tmp_path):
     R.save_report(spark.createDataFrame([(1, 2, doc)], "analysis_id long, song_id long, report string"), str(tmp_path / "lib"))
     rows = spark.read.parquet(str(tmp_path / "lib/instruments")).collect()
     assert sorted(r["label"] for r in rows) == ["Kazoo", "keys.piano"]
+    before = {p.name for p in (tmp_path / "lib/instruments").rglob("*.parquet")}
+    again = doc.replace("Kazoo", "Zither")
+    R.save_report(spark.createDataFrame([(5, 9, again)], "analysis_id long, song_id long, report string"), str(tmp_path / "lib"))
+    assert before <= {p.name for p in (tmp_path / "lib/instruments").rglob("*.parquet")}  # the other song's files stay
+    rows = spark.read.parquet(str(tmp_path / "lib/instruments")).collect()
+    assert sorted((r["song_id"], r["label"]) for r in rows) == [(2, "Kazoo"), (2, "keys.piano"), (9, "Zither"), (9, "keys.piano")]
 
 
 def test_library_schemas_parse(spark):
