@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelgrove.llm.common import doc_key, from_key, prepare, stored
@@ -83,7 +83,8 @@ def _vector(numbers: list[int]):
 
 def labelled_paragraphs(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(label, paragraph, fit): paragraphs that a phrase labels, others without `licen` or
-    `copyright` as unknown, at most `sample` of each class by hash, and the templates themselves.
+    `copyright` as unknown, at most `sample` different ones of each class by hash, and the templates
+    themselves. All classes come from one pass.
     `fit` is false for the fifth used for calibration."""
     lines = documents.where("text is not null").select(F.explode(F.split("text", "\n")).alias("paragraph")).where(
         "trim(paragraph) != ''")
@@ -92,15 +93,14 @@ def labelled_paragraphs(documents: DataFrame, sample: int = SAMPLE) -> DataFrame
         named = named.when(F.col("paragraph").rlike(PHRASES[name]), F.lit(i))
     named = named.when(~F.col("paragraph").rlike("(?i)licen[sc]e|copyright"), F.lit(len(TEMPLATES)))
     h = F.xxhash64("paragraph")
-    marked = lines.withColumn("label", named).where("label is not null")
-    parts = [marked.where((F.col("label") == i)).distinct() if i < len(TEMPLATES) else
-             marked.where((F.col("label") == i) & (F.pmod(h, F.lit(997)) < 100)) for i in range(len(CLASSES))]
+    named = lines.select("paragraph", named.alias("label")).where(
+        (F.col("label") < len(TEMPLATES)) | (F.col("label") == len(TEMPLATES)) & (F.pmod(h, F.lit(997)) < 100)).distinct()
+    # a task keeps at most `sample` paragraphs of a class before they are shuffled
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(h, "paragraph"))
+    some = named.withColumn("nth", nth).where(F.col("nth") <= sample).select(
+        "label", "paragraph", (F.pmod(h, F.lit(5)) != 0).alias("fit"))
     rows = documents.sparkSession.createDataFrame(list(enumerate(TEMPLATES.values())), "label int, paragraph string")
-    rows = rows.withColumn("fit", F.lit(True))
-    for part in parts:
-        rows = rows.unionByName(part.orderBy(h, "paragraph").limit(sample).select(
-            "label", "paragraph", (F.pmod(h, F.lit(5)) != 0).alias("fit")))
-    return rows
+    return rows.withColumn("fit", F.lit(True)).unionByName(some)
 
 
 class Classifier:
