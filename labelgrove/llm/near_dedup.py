@@ -32,6 +32,9 @@ SUBKEYS = 16
 HASHES = 4 * SUBKEYS
 #: Shingles that one worker keeps while it confirms pairs.
 KEPT_SHINGLES = 4_000_000
+#: Rounds of comparisons across groups at most, and the share of links below which they end; what they leave
+#: goes to the prefix filter.
+ROUNDS, FEW = 16, 0.05
 
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -176,6 +179,41 @@ def rare_grams(texts: DataFrame) -> DataFrame:
         F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("doc", "n", "gram", "place")
 
 
+def merged_groups(placed: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of the tables (bucket, doc, grp) that hold several groups, and links (u, v) found.
+
+    In every round each document of such a table is compared with one document of another group: the
+    table's centre, or if it is of the centre's own group, the centre of the others. Of its tables' centres
+    it takes the one it shares most tables with. Groups that a link joins are one from then on, so a
+    cluster of n texts whose pairs are often, but not always, links comes together in a few rounds of
+    n comparisons. Rounds end when few of their comparisons still are links.
+    """
+    def several(rows: DataFrame) -> DataFrame:
+        spread = rows.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low != high")
+        return stored(rows.join(spread.select("bucket"), "bucket").select("bucket", "doc", "grp"), "several")
+    left, joined = several(placed), None
+    for step in range(ROUNDS):
+        order = F.xxhash64("doc", F.lit(step))
+        first = left.groupBy("bucket").agg(F.max_by(F.struct("doc", "grp"), order).alias("first"))
+        rows = left.join(first, "bucket")
+        other = rows.where("grp != first.grp").groupBy("bucket").agg(F.max_by("doc", order).alias("other"))
+        centre = F.when(F.col("grp") != F.col("first.grp"), F.col("first.doc")).otherwise(F.col("other"))
+        tries = rows.join(other, "bucket").groupBy("doc", centre.alias("v")).agg(F.count(F.lit(1)).alias("n")).groupBy(
+            F.col("doc").alias("u")).agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+        tries = stored(tries, "tries")
+        found = stored(confirmed(tries, texts), "joined")
+        joined = found if joined is None else joined.unionByName(found)
+        tried, links = tries.count(), found.count()
+        if links:
+            of = left.select("doc", "grp").distinct()
+            ends = found.join(of.withColumnsRenamed({"doc": "u", "grp": "a"}), "u").join(of.withColumnsRenamed({"doc": "v", "grp": "b"}), "v")
+            merged = connected_components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            left = several(left.join(merged, left.grp == merged.node, "left").select("bucket", "doc", F.coalesce("root", "grp").alias("grp")))
+        if links <= FEW * tried:
+            break
+    return left, joined
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
@@ -210,8 +248,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # then, among documents of tables that still hold several groups, pairs across groups
     placed = rows.join(groups, rows.doc == groups.node, "left").select(
         "bucket", "doc", F.coalesce("root", "doc").alias("grp"))
-    mixed = placed.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low != high")
-    mixed = placed.join(mixed, "bucket").select("doc", "grp").distinct()
+    left, joined = merged_groups(placed, texts)
+    mixed = left.select("doc", "grp").distinct()
     rare = stored(rare_grams(texts.join(mixed.select("doc"), "doc")).join(mixed, "doc"), "rare")
     of = lambda name: rare.select("gram", *[F.col(c).alias(f"{c}_{name}") for c in ("doc", "n", "grp", "place")])
     # at the first shingle in common, what is left of both sets must still hold the needed overlap
@@ -220,7 +258,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         >= PERCENT * (F.col("n_u") + F.col("n_v")))
     pairs = pairs.select(F.col("doc_u").alias("u"), F.col("doc_v").alias("v")).distinct()
     more = stored(confirmed(pairs, texts), "more")
-    groups = connected_components(groups.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    groups = connected_components(groups.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(joined).unionByName(more))
 
     found = members.join(groups, members.rep == groups.node, "left").select(
         "doc", "n", F.coalesce("root", "rep").alias("component"))

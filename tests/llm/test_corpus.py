@@ -237,3 +237,26 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, DATA).count() == packed.count()
+
+
+@pytest.mark.parametrize("changes", [3, 5])
+def test_cluster_of_texts_that_are_not_all_links(spark, changes):
+    rng = np.random.default_rng(changes)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for at in rng.integers(0, 200, changes):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(196)} for _, t in rows]
+    root = list(range(70))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+    for a, b in itertools.combinations(range(70), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(70)}
