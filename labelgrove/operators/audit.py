@@ -94,6 +94,13 @@ def duplicate_content(items: DataFrame, content: str = "content", key: str = "it
         .where("copies > 1"))
 
 
+def id_collisions(items: DataFrame, key: str = "song", content: str = "content") -> DataFrame:
+    """Ids that stand for several contents: how many, over how many items, and in which splits."""
+    return items.groupBy(key).agg(
+        F.count_distinct(content).alias("contents"), F.count(F.lit(1)).alias("items"),
+        F.array_join(F.array_sort(F.collect_set("split")), ",").alias("splits")).where("contents > 1")
+
+
 def duplicate_ids(items: DataFrame, key: str = "item") -> DataFrame:
     return items.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -96,6 +96,14 @@ def _openings(keys: list[str]):
     return run
 
 
+def by_confidence(rows: DataFrame, song: str = "song") -> DataFrame:
+    """(song, instruments): each song's rows(label, confidence) by falling confidence, equal ones by label."""
+    entry = F.struct((-F.col("confidence")).alias("order"), "label", "confidence")
+    listed = F.array_sort(F.collect_list(entry))
+    return rows.groupBy(song).agg(F.transform(listed, lambda e: F.struct(e["label"].alias("label"), e["confidence"].alias("confidence")))
+                                  .alias("instruments"))
+
+
 def shown(rows: DataFrame, show: float = SHOW) -> DataFrame:
     return rows.where(F.col("confidence") >= show)
 

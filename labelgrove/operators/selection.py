@@ -15,13 +15,28 @@ def split_filter(items: DataFrame, split: str | None) -> DataFrame:
 
 
 def units(mix: DataFrame, stems: DataFrame, unit: str, exclude_bleed: bool = False) -> DataFrame:
-    """Labels at mix or stem level; stems get the id `item/stem` and may drop bleed."""
-    if unit == "mix":
-        return mix.select(F.col("item").cast("string").alias("item"), "node", "y")
-    if unit != "stem":
+    """Labels at mix or stem level; stems get the id `item/stem` and may drop bleed. Fails on stems
+    without rows and on a bleed filter for mixes."""
+    if unit not in ("mix", "stem"):
         raise ValueError("unit must be mix or stem")
-    rows = stems.where(~F.coalesce("bleed", F.lit(False))) if exclude_bleed else stems
-    return rows.select(F.concat_ws("/", "item", "stem").alias("item"), "node", "y")
+    if unit == "mix":
+        if exclude_bleed:
+            raise ValueError("only stems have bleed to exclude")
+        rows = mix.select(F.col("item").cast("string").alias("item"), "node", "y")
+    else:
+        kept = stems.where(~F.coalesce("bleed", F.lit(False))) if exclude_bleed else stems
+        rows = kept.select(F.concat_ws("/", "item", "stem").alias("item"), "node", "y")
+        if rows.isEmpty():
+            raise ValueError("no stems" + (" without bleed" if exclude_bleed else ""))
+    return rows
+
+
+def require_single_labels(rows: DataFrame, unit: str) -> DataFrame:
+    """The rows of `units`; fails if an (item, node) pair occurs twice."""
+    repeated = rows.groupBy("item", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if repeated is not None:
+        raise ValueError(f"{unit} {repeated['item']}: node {repeated['node']} occurs {repeated['n']} times")
+    return rows
 
 
 def restrict(obs: DataFrame, nodes: DataFrame) -> DataFrame:

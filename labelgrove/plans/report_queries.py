@@ -228,3 +228,12 @@ def song_reports(t):
     return v.select("song", F.coalesce(F.size("r.instruments"), F.lit(0)).cast("long").alias("n_labels"),
                     F.coalesce(F.size("r.activations"), F.lit(0)).cast("long").alias("n_intervals"),
                     F.col("r.status.instruments").alias("instruments_status"))
+
+
+@query("instruments_by_confidence", """SELECT user_id AS song, string_agg(event_type, ',' ORDER BY v DESC, event_type) AS labels, max(v) AS best
+  FROM (SELECT user_id, event_type, max(value) AS v FROM events GROUP BY 1, 2) e GROUP BY 1""")
+def instruments_by_confidence(t):
+    """Each song's instruments, the surest first."""
+    rows = t.events().groupBy(F.col("user_id").alias("song"), F.col("event_type").alias("label")).agg(F.max("value").alias("confidence"))
+    return R.by_confidence(rows).select("song", F.array_join("instruments.label", ",").alias("labels"),
+                                        F.col("instruments")[0]["confidence"].alias("best"))

@@ -390,3 +390,26 @@ def label_hash_of_orders(t):
     a = table_hash(labels, "item", "node", "y").select("hash", "n")
     b = table_hash(labels.repartition(5, "node"), "item", "node", "y").select("hash", "n")
     return a.intersect(b).select(F.lit(1).alias("ok"))
+
+
+@query("licence_by_sample", """SELECT 'k' || doc_id AS sample_key, CASE doc_id % 3 WHEN 0 THEN 'CC BY, 4.0' WHEN 1 THEN 'CC BY-NC' END AS license_title
+  FROM documents""")
+def licence_by_sample(t):
+    """The licence column of a metadata file, keyed by sample."""
+    folder = work_folder(t.spark, "licences")
+    title = F.when(F.col("doc_id") % 3 == 0, "CC BY, 4.0").when(F.col("doc_id") % 3 == 1, "CC BY-NC")
+    t.read("documents").select(
+        F.col("doc_id").alias("track_id"), (F.col("doc_id") % 9).alias("artist_id"), F.lit("a, b").alias("artist_name"),
+        title.alias("license_title"), F.concat(F.lit("k"), "doc_id").alias("sample_key"), F.lit(0.5).alias("start_time")).write.csv(
+        f"{folder}/meta", header=True)
+    return D.licences(t.spark, f"{folder}/meta")
+
+
+@query("rule_file_hashes", """SELECT sha256(r_name || chr(10)) AS sha256, '2.' || r_regionkey AS rules_version FROM region""")
+def rule_file_hashes(t):
+    """Hashes of rule files, one per region, whose version must have the taxonomy's major part."""
+    folder = work_folder(t.spark, "rules")
+    t.read("region").select("r_regionkey", "r_name").write.partitionBy("r_regionkey").text(f"{folder}/rules")
+    files = TF.file_hashes(t.spark, f"{folder}/rules/*/*.txt")
+    key = F.regexp_extract("path", "r_regionkey=([0-9]+)", 1)
+    return files.select("sha256", TF.require_same_major(F.concat(F.lit("2."), key), F.lit("2.7")).alias("rules_version"))

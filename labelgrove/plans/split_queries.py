@@ -423,3 +423,31 @@ def corrupt_item_flags(t):
            .select(F.col("source").alias("track")))
     items = docs.select(F.col("doc_id").alias("item"), F.concat_ws("_", "source", "doc_id").alias("key"))
     return S.corrupt_flag(items, bad, "key")
+
+
+@query("split_rows", """SELECT part, count(*) AS n FROM (
+    SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents) d
+  JOIN (VALUES ('test', 'test'), ('train', 'train'), ('all', NULL)) p(part, want) ON want IS NULL OR want = split GROUP BY part""")
+def split_rows(t):
+    """The rows of one split, or of all."""
+    items = t.read("documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    parts = [S.split_filter(items, p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "n") for p in ("test", "train", "all")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("available_sources", """SELECT p_partkey AS source, p_brand AS instrument FROM part
+  WHERE p_partkey % 7 <> 0 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)""")
+def available_sources(t):
+    """Sources that are approved and have files."""
+    sources = t.read("part").select(F.col("p_partkey").alias("source"), F.col("p_brand").alias("brand"), F.col("p_partkey").alias("instrument"),
+                                    F.when(F.col("p_partkey") % 7 == 0, "pending_approval").alias("status"))
+    listing = t.read("lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("instrument"))
+    return S.available_sources(sources, listing).select("source", F.col("brand").alias("instrument"))
+
+
+@query("song_id_collisions", """SELECT song, contents, items, splits FROM (SELECT doc_id % 300 AS song, count(DISTINCT sha256(text)) AS contents,
+    count(*) AS items, string_agg(DISTINCT lang, ',' ORDER BY lang) AS splits FROM documents GROUP BY 1) c WHERE contents > 1""")
+def song_id_collisions(t):
+    """Song ids that stand for several contents."""
+    items = t.read("documents").select((F.col("doc_id") % 300).alias("song"), F.sha2("text", 256).alias("content"), F.col("lang").alias("split"))
+    return A.id_collisions(items)

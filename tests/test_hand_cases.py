@@ -16,6 +16,7 @@ from labelgrove.operators import labels as L
 from labelgrove.operators import library as LIB
 from labelgrove.operators import metrics as M
 from labelgrove.operators import report as R
+from labelgrove.operators import selection as SEL
 from labelgrove.operators import taxonomy as T
 
 
@@ -242,3 +243,15 @@ def test_key_of_a_profile(spark):
 def test_temperature_identity_without_both_classes(spark):
     o = obs(spark, [1, 1], [.6, .9]).withColumn("level", F.lit(1))
     assert CAL.fit_temperatures(o, ["level"], 1).first()["temperature"] == 1.0
+
+
+def test_units_that_are_refused(spark):
+    mix = spark.createDataFrame([(1, "a", True), (1, "b", False)], "item long, node string, y boolean")
+    stems = spark.createDataFrame([(1, "s", "a", True, True), (1, "s", "a", True, True)], "item long, stem string, node string, y boolean, bleed boolean")
+    assert SEL.require_single_labels(SEL.units(mix, stems, "mix"), "mix").count() == 2
+    for kwargs, message in (({"unit": "mix", "exclude_bleed": True}, "only stems"), ({"unit": "stem", "exclude_bleed": True}, "no stems"),
+                            ({"unit": "bar"}, "mix or stem")):
+        with pytest.raises(ValueError, match=message):
+            SEL.units(mix, stems, **kwargs)
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        SEL.require_single_labels(SEL.units(mix, stems, "stem"), "stem")
