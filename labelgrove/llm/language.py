@@ -3,8 +3,8 @@
 A profile is the list of a language's most frequent n-grams of one to three symbols in order; a
 document's own list is compared with each profile by the out-of-place distance: the sum over its
 n-grams of how far their ranks lie apart, with the longest distance for those a profile lacks.
-Symbols are the letters that training texts use most, one symbol for other letters, and one for
-whatever stands between words.
+Symbols are all letters of Unicode, lower-cased, and one symbol for whatever stands between words,
+so a script that few training texts use keeps its own n-grams.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from labelgrove.llm.common import crc_of_id, held, prepare
 
 #: N-grams in a profile.
 RANKS = 300
-#: Symbols: 0 between words, 1 for rare letters, the others for single letters.
-SYMBOLS = 48
-#: Documents per language that profiles are made from, about (chosen by a hash of the text).
+#: Documents per language that profiles are made from, at most.
 SAMPLE = 20_000
+#: Different n-grams that a task holds before it passes its counts on.
+HELD = 1_000_000
 UNKNOWN = "und"
 
-_SIZES = (SYMBOLS, SYMBOLS ** 2, SYMBOLS ** 3)
-_CELLS = sum(_SIZES)
+#: An n-gram is a number: up to three code points of 21 bits, the last in the lowest bits. GAP (no
+#: letter) stands for whatever lies between words; as it is not 0, n-grams of all sizes differ.
+_BITS, GAP = 21, 1
 
 
 def _lower_letters() -> np.ndarray:
@@ -45,124 +46,129 @@ def _make_letters() -> np.ndarray:
     return out
 
 
-def _points(text: str) -> np.ndarray:
-    return _lower_letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-
-
-def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0x110000, np.int64)
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            letters, n = np.unique(_points(text), return_counts=True)
-            counts[letters] += n
-    counts[0] = 0
-    found = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(found), pa.array(counts[found])], ["letter", "n"])
-
-
-def symbol_table(alphabet: list[int]) -> np.ndarray:
-    """Symbol of every code point; `alphabet` lists lower-case letters."""
-    low = _lower_letters()
-    of = np.ones(0x110000, np.uint8)
-    of[0] = 0
-    of[alphabet] = np.arange(2, 2 + len(alphabet))
-    return of[low]
-
-
-def gram_counts(text: str, symbols: np.ndarray) -> np.ndarray | None:
-    """Counts of all n-grams of a text, or None if it has no letter."""
-    own = symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The different n-grams of a text in order and their counts, or None if it has no letter."""
+    own = _lower_letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     own = np.concatenate([[0], own, [0]]).astype(np.int64)
     keep = np.ones(len(own), bool)
     keep[1:] = (own[1:] != 0) | (own[:-1] != 0)
-    own = own[keep]
+    own = np.maximum(own[keep], GAP)
     if len(own) < 3:
         return None
-    a, b, c = own[:-2], own[1:-1], own[2:]
-    pairs, triples = own[:-1] * SYMBOLS + own[1:], ((a * SYMBOLS + b) * SYMBOLS + c)[b != 0]
-    return np.concatenate([np.bincount(own[own != 0], minlength=_SIZES[0]), np.bincount(pairs, minlength=_SIZES[1]),
-                           np.bincount(triples, minlength=_SIZES[2])])
+    pairs = (own[:-1] << _BITS) | own[1:]
+    triples = ((own[:-2] << 2 * _BITS) | pairs[1:])[own[1:-1] != GAP]
+    return np.unique(np.concatenate([own[own != GAP], pairs, triples]), return_counts=True)
 
 
-def top_grams(counts: np.ndarray) -> np.ndarray:
+def top_grams(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The most frequent n-grams in order; equal counts by n-gram number."""
-    some = np.flatnonzero(counts)
-    if len(some) > RANKS:
-        low = np.partition(counts[some], len(some) - RANKS)[len(some) - RANKS]
-        some = some[counts[some] >= low]
-    return some[np.lexsort((some, -counts[some]))][:RANKS]
-
-
-def _gram_rows(alphabet: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, sums = symbol_table(alphabet), {}
-        for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = gram_counts(text, symbols)
-                if counts is not None:
-                    sums[lang] = sums.get(lang, 0) + counts
-            if len(sums) > 64:
-                yield _rows(sums)
-                sums = {}
-        if sums:
-            yield _rows(sums)
-    return run
+    if len(grams) > RANKS:
+        some = counts >= np.partition(counts, len(counts) - RANKS)[len(counts) - RANKS]
+        grams, counts = grams[some], counts[some]
+    return grams[np.lexsort((grams, -counts))][:RANKS]
 
 
-def _rows(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
-    found = {lang: np.flatnonzero(c) for lang, c in sums.items()}
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of each language, added up within a task as far as HELD lets it."""
+    parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held_now = 0
+    for batch in batches:
+        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = gram_counts(text)
+            if found is None:
+                continue
+            parts.setdefault(lang, []).append(found)
+            held_now += len(found[0])
+            if held_now > HELD:
+                parts = {name: [_added(p)] for name, p in parts.items()}
+                held_now = sum(len(p[0][0]) for p in parts.values())
+                if held_now > HELD // 2:
+                    yield _rows(parts)
+                    parts, held_now = {}, 0
+    if parts:
+        yield _rows(parts)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate([p[1] for p in parts]), len(grams)).astype(np.int64)
+
+
+def _rows(parts: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+    sums = {lang: _added(p) for lang, p in parts.items()}
     return pa.record_batch([
-        pa.array([lang for lang, at in found.items() for _ in at], pa.string()),
-        pa.array(np.concatenate(list(found.values()))),
-        pa.array(np.concatenate([sums[lang][at] for lang, at in found.items()]))], ["lang", "gram", "n"])
+        pa.array([lang for lang, (grams, _) in sums.items() for _ in range(len(grams))], pa.string()),
+        pa.array(np.concatenate([grams for grams, _ in sums.values()])),
+        pa.array(np.concatenate([counts for _, counts in sums.values()]))], ["lang", "gram", "n"])
 
 
 class Profiles:
-    """Trained alphabet and profiles; at most RANKS n-grams for each language."""
+    """At most RANKS n-grams in order for each language."""
 
-    def __init__(self, alphabet: list[int], ranked: dict[str, list[int]]):
-        self.alphabet, self.ranked = alphabet, dict(sorted(ranked.items()))
+    def __init__(self, ranked: dict[str, list[int]]):
+        self.ranked = dict(sorted(ranked.items()))
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """All n-grams of any profile in order, and the rank of each in each language (-1: none).
+        The last column stands for n-grams that no profile holds."""
+        grams = np.unique(np.array([g for own in self.ranked.values() for g in own], np.int64))
+        place = np.full((len(self.ranked), len(grams) + 1), -1, np.int32)
+        for i, own in enumerate(self.ranked.values()):
+            place[i, np.searchsorted(grams, own)] = np.arange(len(own))
+        return grams, place
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
-    """Profiles of the languages in (text, lang); rows with a null in either are left out.
 
-    About `sample` documents of each language are read, chosen by a hash of their text."""
-    known = labelled.where("text is not null and lang is not null").select("text", "lang")
+def chosen_rows(known: DataFrame, sample: int) -> DataFrame:
+    """(lang, text) of at most `sample` rows of each language: those with the least hashes of id and
+    text. Rows that share both stand together, in or out. Only hashes are shuffled."""
     sizes = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Profiles([], {})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    letters = chosen.select("text").mapInArrow(_letters, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    alphabet = [r.letter for r in letters.orderBy(F.desc("n"), "letter").limit(SYMBOLS - 2).collect()]
-    grams = chosen.select("lang", "text").mapInArrow(_gram_rows(alphabet), "lang string, gram long, n long").groupBy(
+        return known.select("lang", "text")
+    span = 1 << 62
+    hashed = known.withColumn("__h", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(span - 1)))
+    # a little more than needed, so that few hashes are ranked; no bound where all rows fit
+    near = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(span * min(1.0, 1.25 * (sample + 100) / n)))])
+    some = hashed.where(F.col("__h") < near[F.col("lang")])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("__h"))
+    beyond = some.select("lang", "__h", nth.alias("nth")).where(F.col("nth") <= sample + 1).where(F.col("nth") == sample + 1)
+    cut = {r.lang: r["__h"] for r in beyond.collect()}
+    if cut:
+        most = F.coalesce(F.create_map(*[F.lit(x) for p in cut.items() for x in p])[F.col("lang")], F.lit(span))
+        some = some.where(F.col("__h") < most)
+    return some.select("lang", "text")
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
+    """Profiles of the languages in (doc_id, text, lang); rows with a null text or lang are left out.
+
+    At most `sample` documents of each language are read."""
+    known = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    grams = chosen_rows(known, sample).mapInArrow(_gram_rows, "lang string, gram long, n long").groupBy(
         "lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= RANKS)
     ranked: dict[str, list[int]] = {}
     for r in sorted(best.collect(), key=lambda r: (r.lang, r["rank"])):
         ranked.setdefault(r.lang, []).append(r.gram)
-    return Profiles(alphabet, ranked)
+    return Profiles(ranked)
 
 
 def _predict(profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = profiles.value
-        symbols, names = symbol_table(made.alphabet), list(made.ranked)
-        place = np.full((len(names), _CELLS), -1, np.int32)
-        for i, name in enumerate(names):
-            place[i, made.ranked[name]] = np.arange(len(made.ranked[name]))
+        names = list(profiles.value.ranked)
+        grams, place = profiles.value.places()
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(2).to_pylist():
-                counts = gram_counts(text, symbols) if text and names else None
-                if counts is None:
+                found = gram_counts(text) if text and names else None
+                if found is None:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                top = top_grams(counts)
-                theirs = place[:, top]
+                top = top_grams(*found)
+                at = np.searchsorted(grams, top)
+                at[grams[np.minimum(at, len(grams) - 1)] != top] = len(grams)
+                theirs = place[:, at]
                 far = np.where(theirs < 0, RANKS, np.abs(theirs - np.arange(len(top))))
                 distance = far.sum(1)
                 best = int(distance.argmin())
@@ -211,5 +217,5 @@ def with_language(documents: DataFrame) -> DataFrame:
     """The documents that have a language, with their columns: those without any letter go."""
     prepare(documents.sparkSession)
     rows = documents.withColumn("__held", crc_of_id() % 3 == 1)
-    sent = documents.sparkSession.sparkContext.broadcast(train(rows.where("not __held").select("text", "lang")))
+    sent = documents.sparkSession.sparkContext.broadcast(train(rows.where("not __held")))
     return documents.mapInArrow(_carry(sent), documents.schema)
