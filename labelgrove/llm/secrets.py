@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelgrove.llm.common import crc_of_id, doc_key, from_key, prepare, stored
@@ -64,16 +64,26 @@ def _places(pattern: str, group: int) -> Column:
     return F.zip_with(ends, value, lambda end, v: F.struct((end - F.length(v)).alias("start"), v.alias("value")))
 
 
+def _path() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+def _row_md5() -> Column:
+    """Rows of one id with equal path and text are masked alike."""
+    return F.md5(F.concat(F.length(_path()).cast("string"), F.lit(":"), _path(), F.col("text")))
+
+
 def candidates(documents: DataFrame) -> DataFrame:
-    """(doc, value, path, before, after, start): every occurrence of a candidate value in each
-    document, with its place (from 0) and context."""
+    """(doc, value, path, row_md5, before, after, start): every occurrence of a candidate value in
+    each document, with its place (from 0) and context. Rows of one `row_md5` have the same
+    candidates."""
     runs = _places(RUN, 0)
     found = F.concat(runs, F.array_except(_places(ASSIGNED, 1), runs))
     rows = documents.where("text is not null").select(
-        doc_key().alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), "text",
-        F.explode(found).alias("at")).select("doc", "path", "text", "at.start", "at.value")
+        doc_key().alias("doc"), _path().alias("path"), _row_md5().alias("row_md5"), "text", found.alias("found"))
+    rows = rows.select("doc", "path", "row_md5", "text", F.inline("found"))
     return rows.select(
-        "doc", "value", "path", "start",
+        "doc", "value", "path", "row_md5", "start",
         F.substring("text", F.greatest(F.col("start") - CONTEXT + 1, F.lit(1)),
                     F.least(F.col("start"), F.lit(CONTEXT))).alias("before"),
         F.substring("text", F.col("start") + F.length("value") + 1, F.lit(CONTEXT)).alias("after"))
@@ -93,7 +103,7 @@ def described(found: DataFrame, words: list[str]) -> DataFrame:
         a, b, c = code(i), code(i + 1), code(i + 2)
         inside = (a >= 0) & (b >= 0) & (c >= 0)
         return F.when(inside, F.element_at(table, (a * 26 + b) * 26 + c + 1)).otherwise(0)
-    places = F.when(size > 2, F.sequence(F.lit(1), F.least(size, F.lit(10 ** 6)) - 2)).otherwise(F.array().cast("array<int>"))
+    places = F.when(size > 2, F.sequence(F.lit(1), size - 2)).otherwise(F.array().cast("array<int>"))
     covered = F.aggregate(places, F.lit(0), lambda s, i: s + known(i)) / F.greatest(size - 2, F.lit(1))
     return found.withColumns({
         "length": size.cast("double"), "digits": share("[^0-9]"), "upper": share("[^A-Z]"), "lower": share("[^a-z]"),
@@ -127,7 +137,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificati
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """(doc, value, start, score, secret): every occurrence of a candidate with the forest's probability.
+    """(doc, row_md5, value, start, score, secret): every occurrence of a candidate with the
+    forest's probability.
 
     Labelled findings are those of documents whose crc32(doc_id as text) mod 3 is not 1 and that
     `weak_label` can tell. Without both classes nothing is removed: every candidate scores 1.
@@ -143,7 +154,7 @@ def scan(documents: DataFrame) -> DataFrame:
     else:
         scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
         scored = scored.withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc", "value", "start", "score", (F.col("score") >= 0.5).alias("secret"))
+    return scored.select("doc", "row_md5", "value", "start", "score", (F.col("score") >= 0.5).alias("secret"))
 
 
 def secret_findings(documents: DataFrame) -> DataFrame:
@@ -164,14 +175,37 @@ def secret_findings(documents: DataFrame) -> DataFrame:
         F.col("start").cast("long").alias("start"), F.length("value").cast("long").alias("length"), "score", "secret")
 
 
+def secret_spans(documents: DataFrame) -> DataFrame:
+    """(doc, row_md5, spans): for each different row with a secret, where its secrets lie as
+    (start, stop, done) in order; `done` is where earlier spans end. All candidate places of a
+    value that is secret at one of them count."""
+    row = ["doc", "row_md5"]
+    found = scan(documents).groupBy(*row, "value", "start").agg(F.max("secret").alias("secret"))
+    found = found.groupBy(*row, "value").agg(F.max("secret").alias("secret"), F.collect_list("start").alias("starts")).where(
+        "secret").select(*row, F.length("value").alias("size"), F.explode("starts").alias("start"))
+    spans = found.select(*row, "start", (F.col("start") + F.col("size")).alias("stop"))
+    earlier = Window.partitionBy(*row).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("done", F.coalesce(F.max("stop").over(earlier), F.lit(0)))
+    return spans.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "done"))).alias("spans"))
+
+
 def redacted(documents: DataFrame, mask: str = MASK) -> DataFrame:
-    """The documents, with their columns, where every secret is replaced by `mask`; n_chars follows."""
-    values = scan(documents).where("secret").groupBy("doc").agg(
-        F.sort_array(F.collect_set(F.struct(F.length("value").alias("size"), "value")), False).alias("__secrets"))
-    text = F.aggregate("__secrets", F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(mask)))
-    out = documents.withColumn("__doc", doc_key()).join(values.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    out = out.withColumn("text", F.when(F.col("__secrets").isNotNull(), text).otherwise(F.col("text")))
+    """The documents, with their columns, where every secret is replaced by `mask`; n_chars follows.
+
+    Only the places where a row's own secrets were found change: the same characters elsewhere,
+    inside a longer word or in another row of the same (or no) id, stay. Overlapping secrets become
+    one mask. Null texts stay null; repeated rows are masked alike.
+    """
+    row = ["__doc", "__md5"]
+    spans = secret_spans(documents).toDF(*row, "__spans")
+    pieces = F.transform("__spans", lambda s: F.when(
+        s["start"] < s["done"], F.lit("")).otherwise(F.concat(
+            F.substring(F.col("text"), s["done"] + 1, s["start"] - s["done"]), F.lit(mask))))
+    end = F.array_max(F.transform("__spans", lambda s: s["stop"]))
+    text = F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), end + 1, F.length("text")))
+    out = documents.withColumns({"__doc": doc_key(), "__md5": _row_md5()}).join(spans, row, "left")
+    out = out.withColumn("text", F.when(F.col("__spans").isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__secrets").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)
