@@ -30,7 +30,7 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Starts of special tokens, and separators that str.split takes for white space and the tokenizer does not.
 _UNSPLIT = re.compile(rb"<\||[\x1c-\x1f]")
-#: Chunks whose ids a worker remembers.
+#: Chunks in each of the two generations that a worker remembers, about.
 REMEMBERED = 400_000
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 200_000
@@ -45,8 +45,10 @@ class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The tokenizer treats white-space separated chunks apart from each other, so chunks are encoded
-    once and remembered; a chunk of letters and closing punctuation is two parts. Texts that hold
-    the start of a special token or an odd separator go to the tokenizer as they are.
+    once and remembered; a chunk of letters and closing punctuation is two parts. When the memory is
+    full it becomes the older generation, from which chunks that occur again are taken over, so
+    frequent chunks are never encoded anew. Texts that hold the start of a special token or an odd
+    separator go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -54,6 +56,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         latin = [chr(c) for c in range(0xC0, 0x180) if chr(c).isalpha() and len(chr(c).lower()) == 1]
         spelled = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.latin = {ord(c): spelled(c)[0][0] for c in latin} | {c: chr(c) for c in range(97, 123)}
@@ -62,9 +65,16 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def remember(self, chunks: set[str]) -> None:
+        """Afterwards `known` holds all of `chunks`."""
+        new = chunks - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.older, self.known, new = self.known, {}, chunks
+        again = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in again)
+        self.learn(new - again)
+
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known = {}
         odd = []
         for chunk in chunks:
             body = chunk.rstrip(".,;:!?")
@@ -84,14 +94,11 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         chunks = [None if _UNSPLIT.search(t) else t.lower().decode().split() for t in texts]
-        new = set().union(*(c for c in chunks if c)) - self.known.keys()
-        if len(new) > REMEMBERED // 2 and len(texts) > 1:
+        every = set().union(*(c for c in chunks if c))
+        if len(every) > REMEMBERED // 2 and len(texts) > 1:
             half = len(texts) // 2
             return self.encode(texts[:half]) + self.encode(texts[half:])
-        if new:
-            self.learn(new)
-            if any(c not in self.known for cs in chunks if cs for c in cs):
-                self.learn(set().union(*(c for c in chunks if c)) - self.known.keys())
+        self.remember(every)
         get = self.known.__getitem__
         for i, own in enumerate(chunks):
             out[i] = self.whole([texts[i].decode()])[0] if own is None else b"".join(map(get, own))
