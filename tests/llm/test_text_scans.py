@@ -1,9 +1,10 @@
 """Language profiles against plain loops; masking of secrets by place."""
 
 import collections
+import random
 import zlib
 
-from labelgrove.llm import language, secrets
+from labelgrove.llm import language, pack, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -106,3 +107,14 @@ def test_overlapping_secrets_are_one_mask(spark):
 
 def test_masking_of_nothing(spark):
     assert secrets.redacted(_table(spark, [(1, "a", "en")]).limit(0)).count() == 0
+
+
+def test_encoder_with_a_full_memory(monkeypatch):
+    """Chunks come and go between the generations; ids stay those of the tokenizer."""
+    monkeypatch.setattr(pack, "REMEMBERED", 300)
+    encoder, rng = pack.Encoder(pack.tokenizer_path()), random.Random(1)
+    words = [f"w{i}" for i in range(400)] + ["the", "Été,", "x.y", "<|a", "日本", "naïve!", "end..."]
+    for _ in range(60):
+        texts = [" ".join(rng.choices(words, k=rng.randrange(0, 60))) for _ in range(8)]
+        assert encoder.encode([t.encode() for t in texts]) == encoder.whole(texts)
+    assert encoder.older and len(encoder.known) <= 300 + 8 * 60
