@@ -408,5 +408,5 @@ def stream_intervals(t):
     folder = work_folder(with_state_store(t).spark, "frames")
     f = frames(t).select(F.concat_ws("/", "song", "label").alias("series"), "frame", "p")
     f.write.parquet(f"{folder}/in/frames.parquet")
-    s = J.read_table_stream(t.spark, f"{folder}/in/frames.parquet", "*", f.schema)
+    s = J.read_table_stream(t.spark, f"{folder}/in", "frames", f.schema)
     return J.run_to_table(J.interval_stream(s, 0.6, 0.42), folder).drop("epoch")

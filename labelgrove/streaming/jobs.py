@@ -98,9 +98,10 @@ def interval_stream(frames: DataFrame, enter: float, exit_: float, hop_s: float
 
 # ---- sinks
 def read_table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """One table of a folder as a file stream."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 16).parquet(folder))
+    """One table of a folder as a file stream. The table is a file or a folder of files; a file
+    stream takes a single file only by a pattern."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+            .parquet(f"{folder}/{name}[.]parquet"))
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
