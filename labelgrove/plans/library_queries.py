@@ -258,7 +258,7 @@ def library_integrity(t):
                                       F.sha2("text", 256).alias("content_hash"))
     runs = t.read("orders").select(F.col("o_orderkey").alias("id"),
                                    (F.col("o_orderkey") % 1100).alias("song_id"))
-    return SCH.library_violations({"songs": docs, "jobs": runs})
+    return SCH.library_checks({"songs": docs, "jobs": runs})
 
 
 @query("report_fields", """SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events""")
