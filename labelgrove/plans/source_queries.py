@@ -58,12 +58,11 @@ def read_multitrack(t):
     GROUP BY 1, 2) c JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2""")
 def read_partial_clips(t):
     """Class CSV, metadata CSV and partition key lists, with the checks between them."""
-    key = F.concat_ws("_", F.lpad(F.col("l_orderkey").cast("string"), 6, "0"), F.lit("1"))
-    probs = t.lines().groupBy(key.alias("sample_key"), F.col("p_type").alias("cls")).agg(
+    key = lambda order: F.concat_ws("_", F.format_string("%06d", order), F.lit("1"))
+    probs = t.lines().groupBy(key("l_orderkey").alias("sample_key"), F.col("p_type").alias("cls")).agg(
         (F.max("l_quantity") / 50).alias("prob")).withColumn("observed", F.lit(True))
-    ids = t.read("orders").select(
-        F.concat_ws("_", F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit("1")).alias("sample_key"),
-        F.col("o_orderkey").alias("track_id"), F.col("o_custkey").alias("artist_id"))
+    ids = t.read("orders").select(key("o_orderkey").alias("sample_key"),
+                                  F.col("o_orderkey").alias("track_id"), F.col("o_custkey").alias("artist_id"))
     root = work_folder(t.spark, "clips")
     probs.write.csv(f"{root}/labels", header=True)
     ids.select("track_id", "artist_id", F.lit("a").alias("artist_name"), F.lit("CC-BY").alias("license_title"),
