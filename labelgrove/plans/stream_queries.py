@@ -100,10 +100,8 @@ def stream_merged_ledger(t):
 
 @query("stream_exact_membership", """SELECT sha256(text) AS content_hash, min(doc_id) AS upload_id FROM documents GROUP BY 1""")
 def stream_exact_membership(t):
-    """Contents known for good: an upload is new only if no earlier one had its content."""
+    """Contents known for good, each with its least upload, though some arrive behind greater ones."""
     rows = t.read("documents").select(F.col("doc_id").alias("upload_id"), F.sha2("text", 256).alias("content_hash"),
                                       F.timestamp_seconds(F.col("doc_id") * 3600).alias("ts"))
-    # files follow the ids, so the first upload of a content has its least id
     s, folder = arriving(t, rows, "uploads")
-    members = MG.membership_sink(s.drop("ts"), folder)
-    return members.groupBy("content_hash").agg(F.min("upload_id").alias("upload_id"))
+    return MG.membership_sink(s.drop("ts"), folder)

@@ -48,15 +48,21 @@ def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def membership_sink(uploads: DataFrame, folder: str) -> DataFrame:
-    """The first upload of every content after all available uploads(upload_id, content_hash), exactly:
-    an epoch looks contents up among those of all earlier epochs. Within an epoch the least id wins."""
-    spark = uploads.sparkSession
-
+    """(content_hash, upload_id) with the least upload of every content after all available
+    uploads(upload_id, content_hash), exactly and in whatever order they arrive: an epoch writes the
+    contents that no earlier epoch had, and those for which it has a lesser id. Null is a content."""
     def write(batch: DataFrame, epoch: int) -> None:
-        known = _epochs(batch.sparkSession, f"{folder}/members", MEMBERS).where(F.col("epoch") < epoch).select("content_hash")
-        fresh = batch.groupBy("content_hash").agg(F.min("upload_id").alias("upload_id")).join(known, "content_hash", "left_anti")
-        fresh.select("content_hash", F.col("upload_id").cast("long").alias("upload_id")).write.mode("overwrite").parquet(
-            f"{folder}/members/epoch={epoch}")
+        known = read_members(batch.sparkSession, folder, epoch).select(F.col("content_hash").alias("known"), F.col("upload_id").alias("first"))
+        least = batch.groupBy("content_hash").agg(F.min("upload_id").cast("long").alias("upload_id"))
+        held = F.col("content_hash").eqNullSafe(F.col("known")) & (F.col("first") <= F.col("upload_id"))
+        least.join(known, held, "left_anti").write.mode("overwrite").parquet(f"{folder}/members/epoch={epoch}")
 
     drained(uploads, folder, write)
-    return _epochs(spark, f"{folder}/members", MEMBERS)
+    return read_members(uploads.sparkSession, folder)
+
+
+def read_members(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The least upload of every content, of all epochs or of those before one."""
+    rows = _epochs(spark, f"{folder}/members", MEMBERS)
+    rows = rows if before is None else rows.where(F.col("epoch") < before)
+    return rows.groupBy("content_hash").agg(F.min("upload_id").alias("upload_id"))
