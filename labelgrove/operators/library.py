@@ -141,14 +141,16 @@ def merge_ledger(ledger: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def admission(changes: DataFrame, concurrency: int = UNLIMITED, queued: int = UNLIMITED,
-              depth: int = UNLIMITED, daily: int = UNLIMITED, per_user: bool = False) -> DataFrame:
+              depth: int = UNLIMITED, daily: int = UNLIMITED, per_user: bool = False,
+              before: DataFrame | None = None) -> DataFrame:
     """Decision for every submitted job: admitted, or a code and the seconds to wait.
 
     `changes(ts, step, job_id, user_id)` with step 0 = finish, 1 = start, 2 = submit orders equal
     times. A new job already counts as queued. Counts are global unless `per_user`. Running and
     queued counts are running sums over ranges of the changes, so neither a user nor a busy day becomes
     one task. The quota counts admitted jobs only, so it admits the first `daily` submits per user and day that
-    passed the other limits.
+    passed the other limits. `before(user_id, running, queued, day, admitted)` is what earlier changes left:
+    counters of the scopes, with a null day, and jobs admitted per user and day.
     """
     step = F.col("step")
     rows = changes.withColumns({
@@ -157,6 +159,9 @@ def admission(changes: DataFrame, concurrency: int = UNLIMITED, queued: int = UN
         "d_queued": F.when(step == 2, 1).when(step == 1, -1).otherwise(0).cast("long")})
     order = [F.col("ts"), step, F.col("job_id")]
     keys = ["user_id"] if per_user else []
+    if before is not None:
+        rows = rows.unionByName(before.where("day is null").select(
+            F.lit(-1).alias("step"), "user_id", F.col("running").alias("d_running"), F.col("queued").alias("d_queued")), allowMissingColumns=True)
     counts = running_sums(rows, keys, order, {"d_running": "running", "d_queued": "queued"}).where("step = 2")
     code = F.lit(None).cast("string")
     wait = F.lit(None).cast("int")
@@ -172,6 +177,10 @@ def admission(changes: DataFrame, concurrency: int = UNLIMITED, queued: int = UN
     if daily == UNLIMITED:
         return judged.drop("day")
     passed = ranked(judged.where("code is null"), ["user_id", "day"], ["ts", "job_id"], "turn")
+    if before is not None:
+        held = before.where("day is not null").select("user_id", "day", "admitted")
+        passed = passed.join(held, ["user_id", "day"], "left").withColumn(
+            "turn", F.col("turn") + F.coalesce("admitted", F.lit(0))).drop("admitted")
     over = F.col("turn") >= daily
     quota = passed.withColumns({"code": F.when(over, "quota_daily"), "retry_s": F.when(over, 3600)})
     blocked = judged.where("code is not null").withColumn("turn", F.lit(None).cast("long"))

@@ -9,30 +9,35 @@ from labelgrove.plans.catalog import ORACLES, query
 from labelgrove.plans.library_queries import DAY, STATUS, allowed_counts, changes, job_events, requests, with_state_store
 from labelgrove.plans.report_queries import INTERVALS, frames
 from labelgrove.session import work_folder
+from labelgrove.streaming import epochs as E
 from labelgrove.streaming import merging as MG
 from labelgrove.streaming import ordered as O
 from labelgrove.streaming.jobs import run_to_table
 
 SLICES = 5
+#: Rows of a file, about; slices of fewer are one file.
+FILE_ROWS = 500_000
 
 
 def arriving(t, rows: DataFrame, name: str, clock: dict | None = None) -> tuple[DataFrame, str]:
-    """`rows(ts, ...)` as a stream of SLICES files: a row comes with the file of its time or with the
-    next one. `clock` are the columns of a last row, far ahead, that lets the watermark pass all others."""
+    """`rows(ts, ...)` as a stream of SLICES slices of as many files as their rows fill: a row comes with
+    the slice of its time or with the next one. `clock` are the columns of a last row, far ahead, that lets the watermark pass all others."""
     with_state_store(t)
     folder = work_folder(t.spark, name)
     rows = t.stored(rows, f"{name}-rows")
     seconds = F.unix_seconds(F.col("ts"))
-    low, high = rows.agg(F.min(seconds), F.max(seconds)).first()
+    low, high, n = rows.agg(F.min(seconds), F.max(seconds), F.count(F.lit(1))).first()
     late = F.pmod(F.xxhash64(*rows.columns), F.lit(100)) / 100.0
     part = F.floor((seconds - low) / (high - low + 1.0) * SLICES + late)
+    files = max(1, -(-n // (SLICES * FILE_ROWS)))
     for k in range(SLICES + 1):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        slice_ = rows.where(part == k)
+        (slice_.coalesce(1) if files == 1 else slice_.repartition(files)).write.mode("append").parquet(f"{folder}/in")
     if clock is not None:
         last = [F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in clock.items()]
         ahead = F.timestamp_seconds(F.lit(high + 20 * (high - low))).alias("ts")
         t.spark.range(1).select(ahead, *last).select(*rows.columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     return stream, folder
 
 
@@ -40,7 +45,7 @@ def arriving(t, rows: DataFrame, name: str, clock: dict | None = None) -> tuple[
 def stream_admission(t):
     """Admission decisions from changes that arrive out of order."""
     s, folder = arriving(t, changes(t), "admission", {"step": O.TICK, "job_id": -1, "user_id": -1})
-    out = run_to_table(O.admission_stream(s, 25, 15, 38, 1, delay="900 days"), folder)
+    out = E.admission_epochs(s, folder, 25, 15, 38, 1, delay_s=900 * DAY)
     return out.select("job_id", "running", "queued", "code", "retry_s")
 
 
