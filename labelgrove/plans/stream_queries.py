@@ -61,7 +61,7 @@ def stream_admission(t):
     CASE WHEN running >= 1 THEN 120 WHEN queued >= 3 THEN 300 END AS retry_s FROM r WHERE step = 2""")
 def stream_admission_per_user(t):
     s, folder = arriving(t, changes(t), "admission", {"step": O.TICK, "job_id": -1, "user_id": -1})
-    out = run_to_table(O.admission_stream(s, 1, 3, per_user=True, delay="900 days"), folder)
+    out = E.admission_epochs(s, folder, 1, 3, per_user=True, delay_s=900 * DAY)
     return out.select("job_id", "running", "queued", "code", "retry_s")
 
 
