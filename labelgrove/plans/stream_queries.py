@@ -71,7 +71,7 @@ def rate_limit_out_of_order(t):
     rows = requests(t.events()).withColumnRenamed("ts", "at").withColumn("ts", F.timestamp_seconds("at"))
     s, folder = arriving(t, rows, "limit", {"key": "", "event_id": O.TICK, "at": 0})
     seconds = s.select("key", "event_id", (F.unix_micros("ts") / 1e6).alias("ts"))
-    return allowed_counts(run_to_table(O.limit_stream_in_order(seconds, 2, DAY, "8 days"), folder))
+    return allowed_counts(E.limit_epochs(seconds, folder, 2, DAY, 8 * DAY))
 
 
 @query("stream_closed_intervals", f"SELECT CAST(song AS VARCHAR) || '/' || label AS series, start_s, end_s FROM ({INTERVALS}) i")
