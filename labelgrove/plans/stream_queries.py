@@ -79,8 +79,7 @@ def stream_closed_intervals(t):
     """All intervals of frame streams, those included that no frame closes."""
     rows = frames(t).select(F.concat_ws("/", "song", "label").alias("series"), "frame", "p", "ts")
     s, folder = arriving(t, rows, "frames", {"series": "", "frame": O.TICK, "p": 0.0})
-    out = O.closing_intervals(s, 0.6, 0.42, idle_s=40 * DAY, delay="8 days")
-    return run_to_table(out, folder).drop("epoch")
+    return E.interval_epochs(s, folder, 0.6, 0.42, idle_s=40 * DAY, delay_s=8 * DAY)
 
 
 @query("stream_job_progress", f"""SELECT CAST(user_id AS VARCHAR) AS job_id, CASE event_type WHEN 'error' THEN NULL ELSE event_type END AS stage,
