@@ -12,7 +12,6 @@ from labelgrove.session import work_folder
 from labelgrove.streaming import epochs as E
 from labelgrove.streaming import merging as MG
 from labelgrove.streaming import ordered as O
-from labelgrove.streaming.jobs import run_to_table
 
 SLICES = 5
 #: Rows of a file, about; slices of fewer are one file.
@@ -88,7 +87,7 @@ def stream_job_progress(t):
     """The last status of every job and stage, from events in any order; finished jobs leave the state."""
     s, folder = arriving(t, job_events(t.events()), "progress", {
         "event_id": O.TICK, "job_id": -1, "type": "job", "stage": "", "status": ""})
-    out = run_to_table(O.progress_stream(s, keep_s=40 * DAY, delay="8 days"), folder)
+    out = E.progress_epochs(s, folder, keep_s=40 * DAY, delay_s=8 * DAY)
     return out.groupBy("job_id", "stage").agg(F.max_by("status", "epoch").alias("status"))
 
 
