@@ -171,19 +171,24 @@ def leave_source_out(clips: DataFrame) -> DataFrame:
 def choose_source(requests: DataFrame, sources: DataFrame, u: Column) -> DataFrame:
     """Weighted source of every request(leaf): the first cumulative weight above u x total.
 
-    `sources(leaf, source, weight)` are registry-sized and packed per leaf, so the range lookup
-    is an equi-join on the leaf.
+    The cumulative weights of a leaf's `sources(leaf, source, weight)` are cut into as many slots as it
+    has sources, so the range lookup is an equi-join on leaf and slot: a source lies in about two slots,
+    and a request meets about two sources however many the leaf has.
     """
-    w = Window.partitionBy("leaf").orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
-    packed = (sources.withColumn("cum", F.sum("weight").over(w)).groupBy("leaf")
-              .agg(F.array_sort(F.collect_list(F.struct("cum", "source"))).alias("s"),
-                   F.sum("weight").alias("total")))
-    rows = requests.withColumn("__u", u).join(packed, "leaf").withColumn(
-        "__cut", F.col("__u") * F.col("total"))
-    hit = F.filter("s", lambda x: x["cum"] > F.col("__cut"))
-    return rows.withColumn("source", F.coalesce(F.get(hit, 0)["source"],
-                                                F.element_at("s", -1)["source"])).drop(
-        "s", "total", "__u", "__cut")
+    w = Window.partitionBy("leaf").orderBy("source")
+    upto = sources.withColumns({"__cum": F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                                "__next": F.lead("source").over(w)})
+    leaves = sources.groupBy("leaf").agg(F.sum("weight").alias("__total"), F.count(F.lit(1)).alias("__n"))
+    slot = lambda at: F.least(F.floor(at * F.col("__n") / F.col("__total")), F.col("__n"))
+    spans = upto.withColumn("__low", F.coalesce(F.lag("__cum").over(w), F.lit(0.0))).join(leaves, "leaf").withColumn(
+        "__to", F.when(F.col("__next").isNull(), F.col("__n")).otherwise(slot(F.col("__cum"))))
+    spans = spans.select("leaf", "source", "__low", F.when(F.col("__next").isNotNull(), F.col("__cum")).alias("__cum"),
+                         F.explode(F.sequence(slot(F.col("__low")), "__to")).alias("__slot"))
+    rows = requests.withColumn("__u", u).join(leaves, "leaf").withColumn("__cut", F.col("__u") * F.col("__total"))
+    rows = rows.withColumn("__slot", slot(F.col("__cut"))).join(spans, ["leaf", "__slot"])
+    # the last source of a leaf has no upper end
+    return rows.where((F.col("__low") <= F.col("__cut")) & (F.col("__cum").isNull() | (F.col("__cut") < F.col("__cum")))).drop(
+        "__u", "__cut", "__total", "__n", "__slot", "__low", "__cum")
 
 
 def nearest_recording(wanted: DataFrame, recorded: DataFrame, max_shift: int = 3) -> DataFrame:
