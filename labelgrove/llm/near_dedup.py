@@ -8,8 +8,9 @@ Steps: hash every text once; collapse equal sets; keep sub-keys that at least tw
 combine them into table keys; compare every set with the best-connected set it shares a table
 with; group. Tables that then still hold several groups are searched for links across groups: two
 sets of such similarity share a shingle among the rarest quarter of either (prefix filter), so no
-table's pairs are ever listed. Candidates are confirmed on the full shingle sets, recomputed from
-the texts.
+table's pairs are ever listed. Sets around one centre share nearly all shingles; there the filter
+takes what tells them from the centre in place of the shingles. Candidates are confirmed on the full
+shingle sets, recomputed from the texts.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ KEPT_SHINGLES = 4_000_000
 #: Rounds of comparisons across groups at most, and the share of links below which they end; what they leave
 #: goes to the prefix filter.
 ROUNDS, FEW = 16, 0.05
+#: Tables of a document that serve a round; the same ones wherever they are shared.
+TRIED = 16
 
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -167,16 +170,65 @@ def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                    pa.array(np.concatenate(sets))], ["doc", "n", "gram"])
 
 
+def _placed(grams: DataFrame, *keys: str) -> DataFrame:
+    """Rows of `grams` (doc, n, gram, ...) whose gram another set has too (with equal `keys`), with its
+    place among its set's n by rarity."""
+    shared = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    own = grams.join(shared, [*keys, "gram"])
+    each = Window.partitionBy("doc")
+    return own.withColumn("place", F.row_number().over(each.orderBy("docs", "gram")) + F.col("n") - F.count(F.lit(1)).over(each))
+
+
 def rare_grams(texts: DataFrame) -> DataFrame:
     """(doc, n, gram, place): of each set's rarest `n - ceil(0.75 n) + 1` shingles, those that another of
     these sets has too, with the place in that order. Sets that reach the threshold have one of them in common."""
     grams = texts.mapInArrow(_list_grams, "doc long, n long, gram long")
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    own = grams.join(shared, "gram")
-    each = Window.partitionBy("doc")
-    place = F.row_number().over(each.orderBy("docs", "gram")) + F.col("n") - F.count(F.lit(1)).over(each)
-    return own.withColumn("place", place).where(
-        F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("doc", "n", "gram", "place")
+    return _placed(grams).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select(
+        "doc", "n", "gram", "place")
+
+
+def _list_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = _Sets()
+    for batch in batches:
+        rows = []
+        for doc, centre, p, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, base = text_set(unpack(p)), sets.get(q)
+            lost, new = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((base, own), (own, base)))
+            if 2 * (len(base) - len(lost)) >= len(base) + len(new):
+                rows.append((doc, centre, len(base), PERCENT * len(new) + 100 * len(lost), np.concatenate([lost, new]).view(np.int64)))
+        sizes = np.array([len(r[4]) for r in rows], np.int64)
+        wide = [pa.array(np.repeat(np.array([r[i] for r in rows], np.int64), sizes)) for i in range(4)]
+        yield pa.record_batch([*wide, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([np.zeros(0, np.int64), *[r[4] for r in rows]]))],
+                              ["doc", "centre", "base", "cost", "n", "gram"])
+
+
+def changes(centres: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, centre, base, cost, n, gram): the n shingles that only the set or only its centre's set has,
+    for sets at most half of whose union with the centre's differs. `base` is the centre's size.
+
+    With x shingles of the centre lost and y new ones, cost = 100 x + 75 y; sets u and v of one centre are
+    linked exactly if they share (cost_u + cost_v - 25 base) / 175 changes or more."""
+    left = centres.join(texts, "doc").withColumnRenamed("packed", "p")
+    both = left.join(texts.select(F.col("doc").alias("centre"), F.col("packed").alias("q")), "centre")
+    return both.select("doc", "centre", "p", "q").mapInArrow(
+        _list_changes, "doc long, centre long, base long, cost long, n long, gram long")
+
+
+def rare_changes(changed: DataFrame) -> DataFrame:
+    """`changed` with places: of each set's rarest changes, as many as may hold the first one shared with a linked set."""
+    least = changed.groupBy("centre").agg(F.min("cost").alias("least"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("cost") + F.col("least") - (100 - PERCENT) * F.col("base")) / (100 + PERCENT)))
+    return _placed(changed, "centre").join(least, "centre").where(F.col("place") <= F.col("n") - need + 1).drop("docs", "least")
+
+
+def top_centres(rows: DataFrame) -> DataFrame:
+    """(doc, centre): the best-connected set that a document reaches in three steps over its tables' centres."""
+    to = rows.groupBy("doc").agg(F.max_by("centre", "top").alias("centre"))
+    near = to
+    for _ in range(2):
+        near = near.join(to.select(F.col("doc").alias("centre"), F.col("centre").alias("next")), "centre").select(
+            "doc", F.col("next").alias("centre"))
+    return near
 
 
 def merged_groups(placed: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +236,7 @@ def merged_groups(placed: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataF
 
     In every round each document of such a table is compared with one document of another group: the
     table's centre, or if it is of the centre's own group, the centre of the others. Of its tables' centres
-    it takes the one it shares most tables with. Groups that a link joins are one from then on, so a
+    it takes the one it shares most of TRIED tables with. Groups that a link joins are one from then on, so a
     cluster of n texts whose pairs are often, but not always, links comes together in a few rounds of
     n comparisons. Rounds end when few of their comparisons still are links.
     """
@@ -194,8 +246,10 @@ def merged_groups(placed: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataF
     left, joined = several(placed), None
     for step in range(ROUNDS):
         order = F.xxhash64("doc", F.lit(step))
-        first = left.groupBy("bucket").agg(F.max_by(F.struct("doc", "grp"), order).alias("first"))
-        rows = left.join(first, "bucket")
+        own = Window.partitionBy("doc").orderBy(F.xxhash64("bucket", F.lit(step)), "bucket")
+        few = left.withColumn("turn", F.row_number().over(own)).where(F.col("turn") <= TRIED).drop("turn")
+        first = few.groupBy("bucket").agg(F.max_by(F.struct("doc", "grp"), order).alias("first"))
+        rows = few.join(first, "bucket")
         other = rows.where("grp != first.grp").groupBy("bucket").agg(F.max_by("doc", order).alias("other"))
         centre = F.when(F.col("grp") != F.col("first.grp"), F.col("first.doc")).otherwise(F.col("other"))
         tries = rows.join(other, "bucket").groupBy("doc", centre.alias("v")).agg(F.count(F.lit(1)).alias("n")).groupBy(
@@ -237,10 +291,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     texts = stored(packed_texts(keyed_texts(documents)).join(
         rows.select("doc").distinct(), "doc"), "texts")
 
-    # first, each document with the best-connected one among the centres of its tables
+    # first, each document with the best-connected one among the centres of its tables, and the one that leads to
     first = rows.where("doc != centre").groupBy(F.col("doc").alias("u")).agg(
         F.max_by("centre", "top").alias("v"))
-    links = stored(confirmed(first, texts), "links")
+    centres = stored(top_centres(rows), "centres")
+    tops = centres.where("doc != centre").select(F.col("doc").alias("u"), F.col("centre").alias("v"))
+    links = stored(confirmed(first.unionByName(tops).distinct(), texts), "links")
     several = members.groupBy("doc").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     links = links.unionByName(members.join(several, "doc").where("rep != v").select(F.col("rep").alias("u"), "v"))
     groups = connected_components(links)
@@ -250,13 +306,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         "bucket", "doc", F.coalesce("root", "doc").alias("grp"))
     left, joined = merged_groups(placed, texts)
     mixed = left.select("doc", "grp").distinct()
-    rare = stored(rare_grams(texts.join(mixed.select("doc"), "doc")).join(mixed, "doc"), "rare")
-    of = lambda name: rare.select("gram", *[F.col(c).alias(f"{c}_{name}") for c in ("doc", "n", "grp", "place")])
+    changed = stored(changes(centres.join(mixed.select("doc"), "doc").where("doc != centre"), texts), "changes")
+    space = changed.select("doc", "centre").distinct()
+    rare = stored(rare_grams(texts.join(mixed.select("doc"), "doc")).join(mixed, "doc").join(space, "doc", "left").withColumn(
+        "centre", F.coalesce("centre", "doc")), "rare")
+    changed = stored(rare_changes(changed).join(mixed, "doc"), "rare")
+
+    def of(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+        return rows.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in rows.columns if c not in keys])
     # at the first shingle in common, what is left of both sets must still hold the needed overlap
-    pairs = of("u").join(of("v"), "gram").where("grp_u != grp_v and doc_u < doc_v").where(
+    far = of(rare, "u", "gram").join(of(rare, "v", "gram"), "gram").where("grp_u != grp_v and doc_u < doc_v and centre_u != centre_v").where(
         (100 + PERCENT) * (1 + F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v")))
         >= PERCENT * (F.col("n_u") + F.col("n_v")))
-    pairs = pairs.select(F.col("doc_u").alias("u"), F.col("doc_v").alias("v")).distinct()
+    # likewise the changes of two sets around one centre; sets that need none in common are both linked with it
+    keys = ("centre", "base", "gram")
+    near = of(changed, "u", *keys).join(of(changed, "v", *keys), [*keys]).where("grp_u != grp_v and doc_u < doc_v").where(
+        (100 + PERCENT) * (1 + F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v")))
+        >= F.col("cost_u") + F.col("cost_v") - (100 - PERCENT) * F.col("base"))
+    pairs = far.select("doc_u", "doc_v").unionByName(near.select("doc_u", "doc_v")).toDF("u", "v").distinct()
     more = stored(confirmed(pairs, texts), "more")
     groups = connected_components(groups.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(joined).unionByName(more))
 
