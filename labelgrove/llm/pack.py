@@ -12,7 +12,9 @@ rank within their length.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -31,7 +33,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Starts of special tokens, and separators that str.split takes for white space and the tokenizer does not.
 _UNSPLIT = re.compile(rb"<\||[\x1c-\x1f]")
 #: Chunks in each of the two generations that a worker remembers, about.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: What may close a chunk of letters: the tokenizer takes a run of these for one part, after the letters.
+CLOSING = ".,;:!?$%&#*"
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 200_000
 
@@ -52,6 +56,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -60,6 +65,7 @@ class Encoder:
         latin = [chr(c) for c in range(0xC0, 0x180) if chr(c).isalpha() and len(chr(c).lower()) == 1]
         spelled = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.latin = {ord(c): spelled(c)[0][0] for c in latin} | {c: chr(c) for c in range(97, 123)}
+        self.parts = re.compile(f"([a-z{''.join(latin)}]+)([{re.escape(CLOSING)}]*)").fullmatch
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -75,17 +81,16 @@ class Encoder:
         self.learn(new - again)
 
     def learn(self, chunks: set[str]) -> None:
-        odd = []
+        odd, tokenize = [], self.model.tokenize
         for chunk in chunks:
-            body = chunk.rstrip(".,;:!?")
-            small = body.lower()
-            if not (body.isalpha() and all(ord(c) in self.latin for c in small)):
+            found = self.parts(chunk)
+            if found is None:
                 odd.append(chunk)
                 continue
-            ids = [t.id for t in self.model.tokenize(small.translate(self.latin))]
-            self.known[chunk] = np.array(ids, "<u4").tobytes()
-            if body != chunk:
-                tail = chunk[len(body):]
+            body, tail = found.groups()
+            ids = [t.id for t in tokenize(body.lower().translate(self.latin))]
+            self.known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            if tail:
                 if tail not in self.known:
                     self.known[tail] = self.whole([tail])[0]
                 self.known[chunk] += self.known[tail]

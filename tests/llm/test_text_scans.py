@@ -118,3 +118,20 @@ def test_encoder_with_a_full_memory(monkeypatch):
         texts = [" ".join(rng.choices(words, k=rng.randrange(0, 60))) for _ in range(8)]
         assert encoder.encode([t.encode() for t in texts]) == encoder.whole(texts)
     assert encoder.older and len(encoder.known) <= 300 + 8 * 60
+
+
+def test_token_memory_is_bounded():
+    """A worker remembers two generations of 200,000 chunks, and chunks of letters closed by symbols are
+    not left to the whole tokenizer."""
+    encoder = pack.Encoder(pack.tokenizer_path())
+    letters = "abcdefghijklmnop"
+    made = ["".join(letters[i >> 4 * k & 15] for k in range(5)) for i in range(500_000)]
+    for at in range(0, len(made), 20_000):
+        encoder.remember(set(made[at:at + 20_000]))
+        assert len(encoder.known) + len(encoder.older) <= 400_000
+    closed = [b + t for b in ("word", "\u00e9t\u00e9", "\u00c9t\u00e9") for t in ("%%%", "$$$", "&&&", "##", "***", "*.,", "")]
+    ids, asked, whole = encoder.whole(closed), [], encoder.whole
+    encoder.whole = lambda texts: asked.extend(texts) or whole(texts)
+    encoder.learn(set(closed))
+    assert [encoder.known[c] for c in closed] == ids
+    assert not [c for c in asked if c[:1].isalpha()]
