@@ -13,10 +13,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrove.llm.common import doc_key, from_key, keyed_rows, prepare, stored
+from labelgrove.llm.common import doc_key, from_key, prepare, stored
 
 WINDOW = 10
 #: Words of the block that indexes the shift table.
@@ -80,13 +81,17 @@ class WuManber:
             at += 1
 
 
+def _searches(patterns) -> list[WuManber]:
+    by_size = defaultdict(list)
+    for pattern, items in patterns.value:
+        words = pattern.encode().split(b" ")
+        by_size[len(words)].append((words, items))
+    return [WuManber(p) for p in by_size.values()]
+
+
 def _scan(patterns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_size = defaultdict(list)
-        for pattern, items in patterns.value:
-            words = pattern.encode().split(b" ")
-            by_size[len(words)].append((words, items))
-        searches = [WuManber(p) for p in by_size.values()]
+        searches = _searches(patterns)
         for batch in batches:
             n, hits, found = [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
@@ -104,6 +109,29 @@ def _scan(patterns):
     return run
 
 
+def _clean(patterns):
+    """The rows, with all columns, whose `text` holds no pattern."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = _searches(patterns)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+            clean = []
+            for text in texts:
+                words = words_of(text.as_py())
+                clean.append(not any(True for search in searches for _ in search.search(words)))
+            yield batch.filter(pa.array(clean, pa.bool_()))
+    return run
+
+
+def pattern_blocks(spark: SparkSession, benchmark: DataFrame, patterns_at_once: int) -> Iterator[Broadcast]:
+    """The benchmark's patterns with their items, in blocks of about so many."""
+    patterns = stored(item_patterns(benchmark), "patterns")
+    blocks = max(1, math.ceil(patterns.count() / patterns_at_once))
+    for b in range(blocks):
+        rows = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).collect()
+        yield spark.sparkContext.broadcast([(r.pattern, r["items"]) for r in rows])
+
+
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame, patterns_at_once: int = PATTERNS) -> DataFrame:
     """(doc_id, n_words, hits, items) for every document: positions of words inside any occurrence
     of a benchmark window, and the items (as strings) whose windows occur.
@@ -114,16 +142,10 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, patterns_at_once:
     """
     spark = documents.sparkSession
     prepare(spark)
-    patterns = stored(item_patterns(benchmark), "patterns")
-    blocks = max(1, math.ceil(patterns.count() / patterns_at_once))
     texts = documents.select(doc_key().alias("doc"), F.xxhash64("text").alias("mark"), "text")
-    parts = []
-    for b in range(blocks):
-        rows = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast([(r.pattern, r["items"]) for r in rows])
-        parts.append(texts.mapInArrow(_scan(sent), (
-            "doc long, mark long, n_words long, hits array<int>, items array<string>")))
-    if blocks == 1:
+    parts = [texts.mapInArrow(_scan(sent), "doc long, mark long, n_words long, hits array<int>, items array<string>")
+             for sent in pattern_blocks(spark, benchmark, patterns_at_once)]
+    if len(parts) == 1:
         return parts[0].select(from_key("doc").alias("doc_id"), "n_words", "hits", "items")
     every = stored(parts[0], "hits")
     for part in parts[1:]:
@@ -131,7 +153,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, patterns_at_once:
     joined = every.groupBy("doc", "mark").agg(
         F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        F.sequence(F.lit(1), (F.count(F.lit(1)) / blocks).cast("int")).alias("copies"))
+        F.sequence(F.lit(1), (F.count(F.lit(1)) / len(parts)).cast("int")).alias("copies"))
     return joined.select(from_key("doc").alias("doc_id"), "n_words", "hits", "items", F.explode("copies")).drop("col")
 
 
@@ -144,10 +166,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                        (F.size("hits") > 0).alias("contaminated"))
 
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, patterns_at_once: int = PATTERNS) -> DataFrame:
     """The documents in which no benchmark window occurs, with their columns; each row is judged
-    by its own text, whatever its id."""
-    rows = keyed_rows(documents)
-    hit = benchmark_hits(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark).where(
-        F.size("hits") > 0).select(F.col("doc_id").alias("__row"))
-    return rows.join(hit, "__row", "left_anti").select(*documents.columns)
+    by its own text, whatever its id. Texts are read in place and never shuffled: a block of
+    patterns passes on the rows that hold none of it."""
+    prepare(documents.sparkSession)
+    left = documents
+    for i, sent in enumerate(pattern_blocks(documents.sparkSession, benchmark, patterns_at_once)):
+        left = (stored(left, "clean") if i else left).mapInArrow(_clean(sent), documents.schema)
+    return left
