@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,41 @@ def clip_id(*parts) -> Column:
     return F.substring(F.sha1(_parts(*parts)), 1, 16)
 
 
+def file_sha256(spark: SparkSession, path: Column) -> Column:
+    """SHA-256 hex of the file at `path`, in any store that Spark reads. The task that evaluates it reads
+    the file as a stream, so neither its memory nor the length of an array bounds the file."""
+    jvm = spark._jvm
+    found = jvm.java.lang.Class.forName
+    objects = jvm.org.apache.spark.sql.catalyst.expressions.objects
+    columns = jvm.org.apache.spark.sql.classic.ExpressionUtils
+
+    def kind(name: str):
+        return jvm.org.apache.spark.sql.types.ObjectType(found(name))
+
+    def seq(*x):
+        return jvm.org.apache.spark.api.python.PythonUtils.toSeq(list(x))
+
+    def method(on, name: str, out: str, *args):
+        return objects.Invoke(on, name, kind(out), seq(*args), seq(), True, True, False)
+
+    def new(name: str, *args):
+        return objects.NewInstance(found(name), seq(*args), seq(), False, kind(name), jvm.scala.Option.apply(None))
+
+    def static(name: str, function: str, out, *args):
+        return objects.StaticInvoke(found(name), out, function, seq(*args), seq(), True, True, False, jvm.scala.Option.apply(None))
+
+    settings = "org.apache.spark.util.SerializableConfiguration"
+    sent = jvm.org.apache.spark.sql.catalyst.expressions.Literal(
+        jvm.org.apache.spark.util.SerializableConfiguration(spark._jsparkSession.sessionState().newHadoopConf()), kind(settings))
+    at = new("org.apache.hadoop.fs.Path", method(columns.expression(path._jc), "toString", "java.lang.String"))
+    store = method(at, "getFileSystem", "org.apache.hadoop.fs.FileSystem", method(sent, "value", "org.apache.hadoop.conf.Configuration"))
+    # closed at its end
+    content = new("org.apache.commons.io.input.AutoCloseInputStream", method(store, "open", "org.apache.hadoop.fs.FSDataInputStream", at))
+    digest = static("org.apache.commons.codec.digest.DigestUtils", "sha256Hex", kind("java.lang.String"), content)
+    text = jvm.org.apache.spark.sql.types.DataType.fromDDL("string")
+    return Column(columns.column(static("org.apache.spark.unsafe.types.UTF8String", "fromString", text, digest)))
+
+
 def crc_uniform(text: Column) -> Column:
     """CRC-32 of the text scaled to [0, 1)."""
     return F.crc32(text) / F.lit(4294967296.0)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelgrove.functions.hashing import file_sha256
 from labelgrove.operators.gate import latest_runs
 
 PREDICTIONS = ("taxonomy_version string, dataset string, nodes array<string>, "
@@ -136,9 +137,9 @@ def align_vectors(wanted: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def upload_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content_hash, bytes) of uploaded files; the content itself is not kept."""
-    return spark.read.format("binaryFile").load(path).select(
-        "path", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("bytes"))
+    """(path, content_hash, bytes) of uploaded files of any length; the content passes as a stream."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", file_sha256(spark, files["path"]).alias("content_hash"), F.col("length").alias("bytes"))
 
 
 #: Folders that songs are dealt over; an append rewrites those of its songs alone.
