@@ -12,9 +12,13 @@ from labelgrove.plans.standins import PLACE_NODES, PLACES
 from labelgrove.sources import schema as SCH
 from labelgrove.sources.literal import small_table
 from labelgrove.session import work_folder
+from labelgrove.streaming import epochs as E
 from labelgrove.streaming import jobs as J
 from labelgrove.streaming import limiter as LIM
 
+#: Slices of time in which the frames of a stream arrive.
+SLICES = 5
+
 
 # customers are songs, their orders are jobs
 def songs(t):
@@ -404,9 +408,12 @@ def batch_ingest_new_content(t):
   JOIN (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) c
     ON c.user_id = i.song AND c.event_type = i.label WHERE i.end_s < c.n""")
 def stream_intervals(t):
-    """Closed intervals from a frame stream (open tails stay in the state store)."""
-    folder = work_folder(with_state_store(t).spark, "frames")
-    f = frames(t).select(F.concat_ws("/", "song", "label").alias("series"), "frame", "p")
-    f.write.parquet(f"{folder}/in/frames.parquet")
-    s = J.read_table_stream(t.spark, f"{folder}/in", "frames", f.schema)
-    return J.run_to_table(J.interval_stream(s, 0.6, 0.42), folder).drop("epoch")
+    """Closed intervals from a frame stream that arrives in slices of time; open tails are carried."""
+    rows = t.stored(frames(t).select(F.concat_ws("/", "song", "label").alias("series"), "frame", "p", F.unix_seconds("ts").alias("at")), "frame-rows")
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    part = F.coalesce(F.floor((F.col("at") - F.lit(low)) / (F.lit(high) - F.lit(low) + 1.0) * SLICES), F.lit(0))
+    folder, arriving = work_folder(t.spark, "frames"), rows.select("series", "frame", "p")
+    for k in range(SLICES):
+        rows.where(part == k).select(*arriving.columns).write.mode("append").parquet(f"{folder}/in")
+        out = E.interval_epochs_in_order(t.spark.readStream.schema(arriving.schema).parquet(f"{folder}/in"), folder, 0.6, 0.42)
+    return out

@@ -144,6 +144,32 @@ def interval_epochs(frames: DataFrame, folder: str, enter: float, exit_: float,
     return done.where("not open").select("series", F.bround(F.col("start") * hop_s, 2).alias("start_s"), F.bround(F.col("end") * hop_s, 2).alias("end_s"))
 
 
+def interval_epochs_in_order(frames: DataFrame, folder: str, enter: float, exit_: float, hop_s: float = 1.0) -> DataFrame:
+    """`jobs.interval_stream` for many frames(series, frame, p): the closed intervals of frames that arrive
+    in order. An epoch carries the starts of its open intervals in its output. It may be called again
+    with the same folder as more frames come."""
+    if exit_ > enter:
+        raise ValueError("exit threshold above the enter threshold")
+    spark = frames.sparkSession
+    frame, out = "series string, frame long, p double", "series string, start long, end long, open boolean"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/arrived/{epoch}")
+        known = spark.read.schema(frame).parquet(f"{folder}/arrived/{epoch}")
+        if epoch:
+            held = spark.read.schema(out).parquet(f"{folder}/out/epoch={epoch - 1}").where("open")
+            known = known.unionByName(held.select("series", F.col("start").alias("frame"), F.lit(float(enter)).alias("p")))
+        ends = known.groupBy(F.col("series").alias("of")).agg(F.max("frame").alias("last"))
+        found = hysteresis_intervals(known, ["series"], enter, exit_).join(ends, F.col("series").eqNullSafe(F.col("of")))
+        found.select("series", F.col("start_s").cast("long").alias("start"), F.col("end_s").cast("long").alias("end"),
+                     (F.col("end_s") > F.col("last")).alias("open")).write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+
+    rows = frames.select("series", F.col("frame").cast("long").alias("frame"), F.nanvl(F.col("p").cast("double"), F.lit(None)).alias("p"))
+    drained(rows, folder, write)
+    done = spark.read.schema(f"{out}, epoch long").parquet(f"{folder}/out").where("not open")
+    return done.select("series", F.bround(F.col("start") * hop_s, 2).alias("start_s"), F.bround(F.col("end") * hop_s, 2).alias("end_s"))
+
+
 def progress_epochs(events: DataFrame, folder: str, keep_s: float = 3600.0, delay_s: float = 3600.0) -> DataFrame:
     """`ordered.progress_stream` for many events(job_id, event_id, ts, type, stage, status), with the epoch of
     every status. Carried are the jobs that ended within `keep_s`."""
