@@ -173,14 +173,17 @@ def distill_gate(labels: DataFrame, pairs: DataFrame, teacher: DataFrame | None
 
     With `quantile`, only where the teacher's score reaches that quantile of the node.
     """
-    below = (labels.where("y").select("item", F.col("node").alias("ancestor"))
-             .join(pairs.where("depth > 0").select("node", "ancestor"), "ancestor")
-             .select("item", "node").distinct())
-    gate = below.join(labels.select("item", "node"), ["item", "node"], "left_anti")
+    below = pairs.where("depth > 0").select("node", "ancestor")
     if teacher is None:
-        return gate
-    scored = gate.join(teacher, ["item", "node"])
-    if quantile is None:
-        return scored
-    cut = exact_percentile(teacher, ["node"], "score", quantile, "cut")
-    return scored.join(cut, "node").where(F.col("score") >= F.col("cut")).drop("cut")
+        open_ = labels.where("y").select("item", F.col("node").alias("ancestor")).join(below, "ancestor").select("item", "node").distinct()
+        return open_.join(labels.select("item", "node"), ["item", "node"], "left_anti")
+    rest = [c for c in teacher.columns if c not in ("item", "node")]
+    if quantile is not None:
+        cut = exact_percentile(teacher, ["node"], "score", quantile, "cut")
+        teacher = teacher.join(F.broadcast(cut), "node").where(F.col("score") >= F.col("cut")).drop("cut")
+    # an item has labels for at most the nodes of the tree, so they fit one row
+    known = labels.groupBy("item").agg(F.collect_set("node").alias("known"), F.collect_set(F.when(F.col("y"), F.col("node"))).alias("positive"))
+    above = below.groupBy("node").agg(F.collect_set("ancestor").alias("above"))
+    scored = teacher.join(F.broadcast(above), "node").join(known.where(F.size("positive") > 0), "item")
+    gate = scored.where(~F.array_contains("known", F.col("node")) & F.arrays_overlap("above", "positive"))
+    return gate.select("item", "node", *rest) if quantile is None else gate.select("node", "item", *rest)

@@ -520,7 +520,7 @@ def class_weights(t):
   SELECT b.item, b.node, b.score FROM b JOIN q USING (node)
   WHERE b.score >= cut AND NOT EXISTS (SELECT 1 FROM l WHERE l.item = b.item AND l.node = b.node)""")
 def distillation_gate(t):
-    o = t.tree_obs()
+    o = t.stored(t.tree_obs().select("item", "node", "y", "score"), "teacher")
     labels = o.where((T.level_of("node") < 3) | (F.col("item") % 2 == 0)).select("item", "node", "y")
     return C.distill_gate(labels, T.closure(t.tree_nodes()), o.select("item", "node", "score"), 0.75)
 

@@ -92,8 +92,9 @@ class Tables:
                             "y", "score", "score2")
 
     def tree_obs(self) -> DataFrame:
-        """Leaf observations closed upward: y = any, scores = maximum below."""
-        return (self.leaf_obs().select("item", F.explode(ancestors_of("node")).alias("node"),
+        """Leaf observations closed upward: y = any, scores = maximum below. Rows are shuffled by item
+        before they are closed, so those of the ancestors are not."""
+        return (self.leaf_obs().repartition("item").select("item", F.explode(ancestors_of("node")).alias("node"),
                                        "y", "score", "score2")
                 .groupBy("item", "node").agg(F.bool_or("y").alias("y"),
                                              F.max("score").alias("score"),
